@@ -67,7 +67,7 @@ line_scores AS (
          l_orderkey, l_linenumber, l_quantity, l_shipdate AS event_timestamp,
          l_extendedprice AS "Amount",
          CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
-         (l_discount * 5.0::DOUBLE + l_quantity / 50.0::DOUBLE) / 2.0::DOUBLE AS fraud_score
+         (l_discount * 10.0::DOUBLE + l_quantity / 50.0::DOUBLE) / 2.0::DOUBLE AS fraud_score
   FROM lineitem),
 lines AS (
   SELECT *, CASE WHEN fraud_score >= {THRESHOLD}::DOUBLE THEN 1 ELSE 0 END AS prediction
@@ -121,13 +121,13 @@ areas AS (
   FROM steps {group})"""
 
 
-def kpis(grain: str, source: str, digits: int = 6) -> str:
+def kpis(grain: str, source: str, digits: int = 12) -> str:
     time = GRAINS[grain]
     return f"""
   SELECT date_trunc('{grain}', event_timestamp)::TIMESTAMP AS {time},
          count(*) AS total_transactions,
          CAST(sum(prediction) AS BIGINT) AS predicted_frauds,
-         round(sum(CASE WHEN prediction = 1 THEN "Amount" ELSE 0 END), {digits}) AS suspicious_amount,
+         round(sum(CASE WHEN prediction = 1 THEN "Amount" ELSE 0 END), 6) AS suspicious_amount,
          round(avg(fraud_score), {digits}) AS avg_fraud_score,
          round(quantile_disc(fraud_score, 0.95), {digits}) AS p95_fraud_score,
          round(CAST(sum(prediction) AS DOUBLE) / count(*), {digits}) AS predicted_fraud_rate

@@ -30,10 +30,10 @@ from ledgerwatch.operators.selection import (
 )
 from ledgerwatch.operators.silver import clean, with_feature_array, with_transaction_id
 from ledgerwatch.operators.split import TimeCuts, block_counts, time_cuts, time_range, with_block
-from ledgerwatch.plans.gold import build_indicators, export_gold, indicators
+from ledgerwatch.plans.gold import INDICATOR_TABLES, build_indicators, export_gold, indicators
 from ledgerwatch.plans.silver import extend_silver, rebuild_silver, silver_rows
 from ledgerwatch.plans.training import ExperimentResult, run_experiment
-from ledgerwatch.session import scratch_path
+from ledgerwatch.session import materialize, scratch_path
 from ledgerwatch.sources.catalog import layer_tables, read_layer
 from ledgerwatch.sources.readers import TOPIC_SCHEMA, read_csv, read_stream, stream_table
 from ledgerwatch.sources.registry import latest_model, versions
@@ -114,7 +114,7 @@ def event_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bronze_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wall_clock(views.bronze(spark, sf_dir))
+    return wall_clock(views.parsed_messages(spark, sf_dir))
 
 
 @query
@@ -213,8 +213,14 @@ def feature_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scores, indicators, listings -------------------------------------------------------
 
 
+def _shown(rows: DataFrame) -> DataFrame:
+    """Indicators for comparison: amounts to six places, the other doubles to twelve."""
+    amount = F.round("suspicious_amount", 6)
+    return wall_clock(rounded(rows.withColumn("suspicious_amount", amount), 12))
+
+
 def _indicators(scores: DataFrame, grain: str) -> DataFrame:
-    return wall_clock(rounded(kpi.kpis(scores, grain), 6))
+    return _shown(kpi.kpis(scores, grain))
 
 
 @query
@@ -235,20 +241,20 @@ def kpi_daily_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kpi_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = kpi.kpis(views.scores(spark, sf_dir), "hour")
-    return wall_clock(rounded(kpi.newest_first(hourly), 6))
+    return _shown(kpi.newest_first(hourly))
 
 
 @query
 def kpi_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicator tables built twice from scores that were themselves stored twice."""
     base = scratch_path(spark, "indicators")
-    targets = {name: f"{base}/{grain}" for grain, name in (("h", "gold.fraud_kpis_hourly"), ("d", "gold.fraud_kpis_daily"))}
+    targets = {name: f"{base}/{name}" for name in INDICATOR_TABLES.values()}
     once = views.scores(spark, sf_dir)
     earlier = once.withColumn("scored_at", F.col("scored_at") - F.expr("INTERVAL 1 HOUR"))
     twice = once.unionByName(earlier.withColumn("fraud_score", F.col("fraud_score") / 2))
     for _ in range(2):
         build_indicators(twice, EVENTS, targets)
-    return wall_clock(rounded(indicators(spark, EVENTS, "day", targets["gold.fraud_kpis_daily"]), 6))
+    return _shown(indicators(spark, EVENTS, "day", targets["gold.fraud_kpis_daily"]))
 
 
 @query
@@ -359,7 +365,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.bronze(spark, sf_dir).withColumn(
         "Class", F.when(F.col("kafka_partition") != 2, F.col("Class"))
     )
-    typed = silver_rows(raw, EVENTS)
+    typed = materialize(silver_rows(raw, EVENTS), "typed")
     tables = {
         "bronze.transactions_raw": raw,
         "silver.transactions_clean": typed,
@@ -612,7 +618,7 @@ def newest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions written as CSV, read back as text with a header check, and cleaned."""
     folder = scratch_path(spark, "csv")
-    export_csv(views.transactions(spark, sf_dir), folder)
+    export_csv(views.transactions(spark, sf_dir).drop("ts"), folder)
     rows = clean(read_csv(spark, folder, EVENTS), EVENTS)
     return rows.select(F.col("event_id").cast("long").alias("event_id"), *EVENTS.features, "label")
 
@@ -630,7 +636,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         " predicted_fraud_rate double"
     )
     back = spark.read.schema(kinds).option("header", True).csv(paths["fraud_kpis_hourly"])
-    return wall_clock(rounded(back, 6))
+    return _shown(back)
 
 
 @query

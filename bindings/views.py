@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions.identity import content_id
 from ledgerwatch.functions.scores import decide, ensemble
 from ledgerwatch.plans.silver import silver_rows
+from ledgerwatch.session import materialize
 from ledgerwatch.spec import TransactionSpec
 from ledgerwatch.streaming.events import encode_events, parse_messages
 
@@ -47,6 +48,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     return events.select(
         "event_id",
+        "ts",
         content_id([F.col("event_id"), F.col("user_id"), F.col("event_type")]).alias("transaction_id"),
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("event_time"),
         ((F.unix_micros(at) - F.lit(EPOCH_MICROS)) / F.lit(1e6)).alias("Time"),
@@ -70,11 +72,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit(INGESTED_AT).cast("timestamp")
     return parse_messages(messages(spark, sf_dir), EVENTS, ingested_at=at)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed messages as a stored table, as the later layers find them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = materialize(parsed_messages(spark, sf_dir), "bronze")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _STORED[key]
+
+
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver_rows(bronze(spark, sf_dir), EVENTS)
 
@@ -90,7 +104,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = ensemble(F.col("a"), F.col("b"))
     return rows.select(
         "transaction_id",
-        F.to_timestamp("event_time").alias("event_timestamp"),
+        F.col("ts").cast("timestamp").alias("event_timestamp"),
         "Amount",
         F.col("Class").alias("label"),
         F.col("a").alias("rf_fraud_probability"),
@@ -126,7 +140,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored transactions: the larger input, with repeated ids."""
     lines = table(spark, sf_dir, "lineitem")
     keys = [F.col(name) for name in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    score = (F.col("l_discount") * 5.0 + F.col("l_quantity") / 50.0) / F.lit(2.0)
+    score = ensemble(F.col("l_discount") * 10.0, F.col("l_quantity") / 50.0)
     return lines.select(
         content_id([F.col("l_orderkey")]).alias("transaction_id"),
         content_id(keys).alias("raw_event_id"),

@@ -29,9 +29,12 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def strict_double(value: Column, name: str) -> Column:
+def strict_double(text: Column, name: str) -> Column:
     """A number from text; blank is NULL, anything else unreadable stops the job."""
-    text = blank_to_null(value.cast("string"))
     number = text.try_cast("double")
     complaint = F.raise_error(F.concat(F.lit(f"Column {name} holds a non-numeric value: "), text))
-    return F.when(text.isNotNull() & number.isNull(), complaint.cast("double")).otherwise(number)
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
+        .when(number.isNull(), complaint.cast("double"))
+        .otherwise(number)
+    )

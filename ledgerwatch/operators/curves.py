@@ -8,24 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions.rates import share
+from ledgerwatch.operators.evaluation import score_points
 from ledgerwatch.operators.ordered import ROWS_PER_RANGE, running_totals
 from ledgerwatch.session import materialize
 
 
-def score_points(
-    scored: DataFrame, score: str = "fraud_score", label: str = "label", by: Sequence[str] = ()
-) -> DataFrame:
-    """Positives and negatives per distinct score; equal scores combine before the shuffle."""
-    return (
-        scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(*by, score)
-        .agg(
-            F.count_if(F.col(label) == 1).alias("positives"),
-            F.count_if(F.col(label) == 0).alias("negatives"),
-        )
-    )
-
-
 def areas_under_curves(
     scored: DataFrame,
     score: str = "fraud_score",

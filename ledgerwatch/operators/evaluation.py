@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import rates
 
 
+def double_array(values: Sequence[float]) -> Column:
+    """A constant array, parsed once instead of built element by element."""
+    return F.expr(f"array({', '.join(f'{float(value)!r}D' for value in values)})")
+
+
 def confusion_sweep(
     scored: DataFrame,
     thresholds: Sequence[float],
@@ -19,20 +25,27 @@ def confusion_sweep(
 ) -> DataFrame:
     """tp, fp, tn, fn for each threshold and group, in one pass over the rows.
 
-    A row only adds one to the cell "how many thresholds does this score reach"; at most
-    ``len(thresholds) + 1`` cells per group leave the map side, and the matrices are sums
-    over those cells. Rows with a NULL score or a label outside {0, 1} count nowhere.
+    A row only adds one to the cell "how many thresholds does this score reach", found by
+    binary search; at most ``len(thresholds) + 1`` cells per group leave a map task, and
+    the matrices are sums over those cells. Rows with a NULL score or a label outside {0, 1} count nowhere.
     """
     limits = [float(value) for value in thresholds]
     if not limits:
         raise ValueError("At least one threshold is needed.")
-    value = F.col(score)
-    reached = F.lit(0)
-    for limit in sorted(limits):
-        reached = reached + (value >= F.lit(limit)).cast("int")
+    distinct = sorted(set(limits))
+    # Interval i of the cutter holds the scores that reach exactly i distinct thresholds.
+    cutter = Bucketizer(
+        splits=[float("-inf"), *distinct, float("inf")],
+        inputCol=score,
+        outputCol="reached",
+        handleInvalid="keep",
+    )
+    counted = scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1)).select(
+        *by, F.col(score).cast("double").alias(score), label
+    )
     cells = (
-        scored.filter(value.isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(*by, reached.alias("reached"))
+        cutter.transform(counted)
+        .groupBy(*by, F.col("reached").cast("int").alias("reached"))
         .agg(
             F.count_if(F.col(label) == 1).alias("positives"),
             F.count_if(F.col(label) == 0).alias("negatives"),
@@ -41,16 +54,9 @@ def confusion_sweep(
     gathered = cells.groupBy(*by).agg(
         F.collect_list(F.struct("reached", "positives", "negatives")).alias("cells")
     )
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(limit).alias("threshold"),
-                F.lit(sum(other <= limit for other in limits)).alias("rank"),
-            )
-            for position, limit in enumerate(limits)
-        ]
-    )
+    grid = gathered.select(
+        *by, "cells", F.posexplode(double_array(limits)).alias("position", "threshold")
+    ).withColumn("rank", F.array_position(double_array(distinct), F.col("threshold")))
 
     def total(column: str, hit: bool):
         def chosen(cell):
@@ -59,7 +65,7 @@ def confusion_sweep(
         picked = F.filter("cells", chosen)
         return F.aggregate(picked, F.lit(0).cast("long"), lambda acc, cell: acc + cell[column])
 
-    return gathered.select(*by, "cells", F.inline(grid)).select(
+    return grid.select(
         *by,
         "position",
         "threshold",
@@ -90,6 +96,20 @@ def threshold_metrics(
     return with_rates(confusion_sweep(scored, thresholds, score, label, by))
 
 
+def score_points(
+    scored: DataFrame, score: str = "fraud_score", label: str = "label", by: Sequence[str] = ()
+) -> DataFrame:
+    """Positives and negatives per distinct score; equal scores combine before the shuffle."""
+    return (
+        scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+        .groupBy(*by, score)
+        .agg(
+            F.count_if(F.col(label) == 1).alias("positives"),
+            F.count_if(F.col(label) == 0).alias("negatives"),
+        )
+    )
+
+
 def confusion_at_own_threshold(
     scored: DataFrame,
     chosen: DataFrame,
@@ -102,14 +122,7 @@ def confusion_at_own_threshold(
     ``chosen`` holds one row per run. It is joined to per-run, per-score counts, so the
     join never sees more than one row per distinct score.
     """
-    points = (
-        scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(*by, score)
-        .agg(
-            F.count_if(F.col(label) == 1).alias("positives"),
-            F.count_if(F.col(label) == 0).alias("negatives"),
-        )
-    )
+    points = score_points(scored, score, label, by)
     reached = F.col(score) >= F.col("threshold")
 
     def total(column: str, when):

@@ -8,7 +8,7 @@ window of its own, and the sums of the ranges before it are added as an offset.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
+from math import ceil, isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -20,14 +20,15 @@ MOST_RANGES = 10_000
 RANGE_COLUMN = "_range"
 
 
-def _with_range(points: DataFrame, order: str, rows_per_range: int) -> DataFrame:
-    """Number value ranges so that a higher number always means higher values."""
+def _with_range(points: DataFrame, order: str, rows_per_range: int) -> DataFrame | None:
+    """Number value ranges so that a higher number always means higher values; None where
+    the whole table fits in one range."""
     ranges = min(MOST_RANGES, ceil(points.count() / rows_per_range))
     if ranges <= 1:
-        return points.withColumn(RANGE_COLUMN, F.lit(0.0))
+        return None
     shares = [step / ranges for step in range(1, ranges)]
     cuts = sorted(set(points.approxQuantile(order, shares, 1.0 / (4 * ranges))))
-    edges = [float("-inf"), *[cut for cut in cuts if float("-inf") < cut < float("inf")], float("inf")]
+    edges = [float("-inf"), *[cut for cut in cuts if isfinite(cut)], float("inf")]
     cutter = Bucketizer(splits=edges, inputCol=order, outputCol=RANGE_COLUMN, handleInvalid="keep")
     return cutter.transform(points)
 
@@ -46,24 +47,29 @@ def running_totals(
     (``by``, ``order``) and no NULL in either. ``by`` groups may be as uneven as they
     like; the ranges, not the groups, decide how the work is spread.
     """
-    ranged = _with_range(points, order, rows_per_range)
-    keys = [*by, RANGE_COLUMN]
     direction = F.desc if descending else F.asc
+    ranged = _with_range(points, order, rows_per_range)
+    keys = list(by) if ranged is None else [*by, RANGE_COLUMN]
+    inside = (
+        W.partitionBy(*keys).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    within = {m: F.sum(m).over(inside) for m in measures}
+    if ranged is None:
+        return points.select("*", *[within[m].alias(f"cum_{m}") for m in measures])
 
     earlier = (
         W.partitionBy(*by).orderBy(direction(RANGE_COLUMN)).rowsBetween(W.unboundedPreceding, -1)
     )
-    range_sums = ranged.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = range_sums.select(
-        *keys,
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"before_{m}") for m in measures],
-    )
-
-    inside = (
-        W.partitionBy(*keys).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = (
+        ranged.groupBy(*keys)
+        .agg(*[F.sum(m).alias(m) for m in measures])
+        .select(
+            *keys,
+            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"before_{m}") for m in measures],
+        )
     )
-    within = ranged.select("*", *[F.sum(m).over(inside).alias(f"within_{m}") for m in measures])
-    return within.join(offsets, keys).select(
+    windowed = ranged.select("*", *[within[m].alias(f"within_{m}") for m in measures])
+    return windowed.join(offsets, keys).select(
         *points.columns,
         *[(F.col(f"before_{m}") + F.col(f"within_{m}")).alias(f"cum_{m}") for m in measures],
     )

@@ -33,19 +33,18 @@ def rebuild_silver(
     bronze: DataFrame, spec: TransactionSpec, clean_target: str, features_target: str
 ) -> None:
     """Recompute both typed tables from all raw rows; touched dates are replaced, not added to.
+    The feature table follows from the stored clean one, so raw rows are cleaned once.
 
     Event times that do not parse fall back to the stored ingestion time, so that a row
     lands in the same date on every run.
     """
-    tables = layer_tables(spec)
-    rows = silver_rows(bronze, spec)
-    save_layer(rows, tables["silver.transactions_clean"], overwrite=True, target=clean_target)
-    save_layer(
-        feature_rows(rows, spec),
-        tables["silver.transactions_features"],
-        overwrite=True,
-        target=features_target,
+    clean_table, feature_table = (
+        layer_tables(spec)[name]
+        for name in ("silver.transactions_clean", "silver.transactions_features")
     )
+    save_layer(silver_rows(bronze, spec), clean_table, overwrite=True, target=clean_target)
+    stored = read_layer(bronze.sparkSession, clean_table, clean_target)
+    save_layer(feature_rows(stored, spec), feature_table, overwrite=True, target=features_target)
 
 
 def extend_silver(

@@ -15,6 +15,9 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    # Recording the Python call site of every expression doubles the time it takes to
+    # build a plan over many columns. Turn it on when looking for the line of an error.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -32,15 +32,21 @@ def encode_events(
     clock = F.current_timestamp() if now is None else now
     written = F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
+    kinds = dict(rows.dtypes)
+
     def given(name: str) -> Column:
-        return blank_to_null(F.col(name).cast("string")) if name in rows.columns else F.lit(None)
+        return blank_to_null(F.col(name).cast("string")) if name in kinds else F.lit(None)
+
+    def number(name: str) -> Column:
+        is_text = kinds[name] == "string"
+        return strict_double(F.col(name), name) if is_text else F.col(name).cast("double")
 
     derived = content_id([F.col(name) for name in spec.features])
     fields = {
         spec.id: F.coalesce(given(spec.id), derived),
         spec.event_time: F.coalesce(given(spec.event_time), written),
         spec.source: F.lit(source_file),
-        **{name: strict_double(F.col(name), name) for name in spec.required},
+        **{name: number(name) for name in spec.required},
     }
     event = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
     return rows.select(event.alias("event"), *carried).select(
