@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import rates
+from ledgerwatch.session import materialize
+
+MOST_BROADCAST_RUNS = 100_000
 
 
 def double_array(values: Sequence[float]) -> Column:
@@ -120,8 +123,13 @@ def confusion_at_own_threshold(
     """One matrix per run, each at the run's own threshold.
 
     ``chosen`` holds one row per run. It is joined to per-run, per-score counts, so the
-    join never sees more than one row per distinct score.
+    join never sees more than one row per distinct score. A run's scores would all meet in
+    one task of a shuffled join; the stored thresholds are counted, and broadcast as long
+    as there are at most ``MOST_BROADCAST_RUNS`` of them.
     """
+    own = materialize(chosen.select(*by, "threshold"), "own-thresholds")
+    if own.count() <= MOST_BROADCAST_RUNS:
+        own = F.broadcast(own)
     points = score_points(scored, score, label, by)
     reached = F.col(score) >= F.col("threshold")
 
@@ -129,7 +137,7 @@ def confusion_at_own_threshold(
         return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0))
 
     return (
-        points.join(chosen.select(*by, "threshold"), list(by))
+        points.join(own, list(by))
         .groupBy(*by, "threshold")
         .agg(
             total("positives", reached).alias("tp"),

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.session import scratch_path
 
+# A file's start is some hundred bytes; below this many files all starts fit a broadcast.
+MOST_BROADCAST_FILES = 100_000
+
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_index") -> DataFrame:
     """Number the rows 0, 1, 2, ... in ``order_by`` order.
@@ -42,6 +45,8 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
+    if len(stored.inputFiles()) <= MOST_BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return stored.join(starts, "_file").select(
         *df.columns, (F.col("_start") + F.col("_place")).alias(name)
     )

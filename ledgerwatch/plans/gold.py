@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerwatch.operators.kpi import current_scores, kpis
 from ledgerwatch.operators.quality import quality_report
+from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import layer_tables, read_layer, save_layer
 from ledgerwatch.sources.writers import export_csv
 from ledgerwatch.spec import TransactionSpec
@@ -25,16 +27,25 @@ def build_indicators(
 ) -> None:
     """Recompute hourly and daily indicators; days present in the scores are replaced.
 
-    By default each transaction counts once, with its latest score; ``latest_only=False``
+    By default each transaction counts once, with its latest score, and the rows kept are
+    stored so that the shuffle by id runs once for both grains; ``latest_only=False``
     counts every stored scoring.
     """
     tables = layer_tables(spec)
     if latest_only:
-        scores = current_scores(
-            scores.select(spec.id, "scored_at", spec.timestamp, spec.amount, "fraud_score", "prediction", "model_version"),
-            model_version,
+        measured = scores.select(
             spec.id,
+            "scored_at",
+            spec.timestamp,
+            spec.amount,
+            "fraud_score",
+            "prediction",
+            "model_version",
         )
+        current = current_scores(measured, model_version, spec.id)
+        scores = materialize(current.drop(spec.id, "scored_at", "model_version"), "current-scores")
+    elif model_version is not None:
+        scores = scores.filter(F.col("model_version") == model_version)
     for grain, name in INDICATOR_TABLES.items():
         rows = kpis(scores, grain, spec.timestamp, spec.amount)
         save_layer(rows, tables[name], overwrite=True, target=(targets or {}).get(name))
@@ -68,7 +79,9 @@ def write_quality(
     save_layer(report, layer_tables(spec)["gold.data_quality_metrics"], target=target)
 
 
-def indicators(spark, spec: TransactionSpec, grain: str, source: str | None = None) -> DataFrame:
+def indicators(
+    spark: SparkSession, spec: TransactionSpec, grain: str, source: str | None = None
+) -> DataFrame:
     """A stored indicator table in its declared columns."""
     table = layer_tables(spec)[INDICATOR_TABLES[grain]]
     return read_layer(spark, table, source).select(*table.schema.fieldNames())

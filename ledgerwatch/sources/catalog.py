@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwatch.sources.writers import append, insert_into, replace_leaf, replace_partitions
+from ledgerwatch.sources.writers import (
+    append,
+    insert_into,
+    leaf_folder,
+    replace_leaf,
+    replace_partitions,
+)
 from ledgerwatch.spec import PROVENANCE_COLUMNS, TransactionSpec
 
 TEXT, NUMBER, WHOLE, COUNT = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
@@ -202,18 +209,28 @@ def create_tables(
 
 
 def save_layer(
-    df: DataFrame, table: LayerTable, overwrite: bool = False, target: str | None = None
+    df: DataFrame,
+    table: LayerTable,
+    overwrite: bool = False,
+    target: str | None = None,
+    rebalance: bool = True,
 ) -> None:
     """Append to a layer table, or with ``overwrite`` replace the partitions present in ``df``.
 
     ``target`` is a folder (anything with a slash) or a catalog name; default: the table's
     own name. Replacing in a catalog table relies on dynamic partition overwrite, which
     ``build_session`` sets.
+
+    ``rebalance`` gathers the rows of a partition before writing, so that a thousand tasks
+    do not each leave a small file in every date; adaptive execution splits a date that
+    holds most rows over many tasks. Turn it off where the rows already arrive by date.
     """
     target = target or table.name
     if overwrite and not table.partition_by:
         raise ValueError(f"{table.name} has no partitions; overwriting would replace all of it.")
     rows = table.laid_out(df)
+    if rebalance and table.partition_by:
+        rows = rows.hint("rebalance", *[F.col(name) for name in table.partition_by])
     if "/" in target:
         if overwrite:
             replace_partitions(rows, target, table.partition_by)
@@ -250,5 +267,22 @@ def read_layer(spark: SparkSession, table: LayerTable, source: str | None = None
     rows = (
         spark.read.schema(table.stored_schema).parquet(source) if "/" in source else spark.table(source)
     )
+    return _declared_order(rows, table)
+
+
+def read_step(
+    spark: SparkSession, table: LayerTable, keys: dict[str, str | int], source: str | None = None
+) -> DataFrame:
+    """The rows of one step's partition. In a folder only that partition is listed, so the
+    cost does not grow with the number of steps already stored."""
+    source = source or table.name
+    if "/" not in source:
+        matches = [F.col(name) == value for name, value in keys.items()]
+        return read_layer(spark, table, source).filter(reduce(Column.__and__, matches))
+    reader = spark.read.schema(table.stored_schema).option("basePath", source)
+    return _declared_order(reader.parquet(leaf_folder(source, keys)), table)
+
+
+def _declared_order(rows: DataFrame, table: LayerTable) -> DataFrame:
     extra = [name for name in table.partition_by if name not in table.schema.fieldNames()]
     return rows.select(*table.schema.fieldNames(), *extra)

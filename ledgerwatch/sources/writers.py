@@ -13,16 +13,6 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def append_missing(
-    df: DataFrame, path: str, key: str, stored: DataFrame, partition_by: Sequence[str] = ()
-) -> None:
-    """Append the rows whose ``key`` is not stored yet; a second run appends nothing.
-
-    The key must be close to unique (an event hash), so the anti-join spreads evenly.
-    """
-    append(df.join(stored.select(key), key, "left_anti").select(*df.columns), path, partition_by)
-
-
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Overwrite only the partitions present in ``df``."""
     (
@@ -33,15 +23,17 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     )
 
 
-def replace_leaf(df: DataFrame, path: str, keys: Mapping[str, str | int]) -> str:
-    """Overwrite the one partition named by ``keys`` and return its folder.
+def leaf_folder(path: str, keys: Mapping[str, str | int]) -> str:
+    return "/".join([path.rstrip("/"), *[f"{name}={value}" for name, value in keys.items()]])
+
+
+def replace_leaf(df: DataFrame, path: str, keys: Mapping[str, str | int]) -> None:
+    """Overwrite the one partition folder named by ``keys``.
 
     The keys are constants of the whole frame, so they name the folder instead of being
     columns. A failed and repeated write leaves exactly the last attempt.
     """
-    folder = "/".join([path.rstrip("/"), *[f"{name}={value}" for name, value in keys.items()]])
-    df.drop(*keys).write.mode("overwrite").parquet(folder)
-    return folder
+    df.drop(*keys).write.mode("overwrite").parquet(leaf_folder(path, keys))
 
 
 def insert_into(df: DataFrame, table: str, overwrite: bool = False) -> None:

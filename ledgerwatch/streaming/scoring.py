@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwatch.operators.ensemble import DeployedModel, score_table
 from ledgerwatch.operators.kpi import alerts
-from ledgerwatch.sources.catalog import layer_tables, read_layer, replace_step
-from ledgerwatch.sources.writers import as_messages, write_messages
+from ledgerwatch.sources.catalog import layer_tables, read_step, replace_step
+from ledgerwatch.sources.writers import as_messages, leaf_folder, write_messages
 from ledgerwatch.spec import TransactionSpec
 
 
@@ -30,7 +30,7 @@ class TopicSink:
         if self.folder is None:
             write_messages(messages, self.sink_format, self.options)
             return
-        step = f"{self.folder}/scoring_run={run}/scoring_batch_id={batch_id}"
+        step = leaf_folder(self.folder, {"scoring_run": run, "scoring_batch_id": batch_id})
         write_messages(messages, self.sink_format, {**self.options, "path": step}, "overwrite")
 
 
@@ -64,8 +64,7 @@ def write_step(
     scored = score_table(rows, model, spec, stamp, batch_id)
     replace_step(scored, tables["gold.fraud_scores"], keys, sinks.scores)
 
-    step = (F.col("scoring_run") == run) & (F.col("scoring_batch_id") == batch_id)
-    stored = read_layer(spark, tables["gold.fraud_scores"], sinks.scores).filter(step)
+    stored = read_step(spark, tables["gold.fraud_scores"], keys, sinks.scores)
     raised = alerts(stored)
     replace_step(raised, tables["gold.fraud_alerts"], keys, sinks.alerts)
     for sink, frame in ((sinks.scored_topic, stored), (sinks.alert_topic, raised)):
