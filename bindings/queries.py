@@ -695,6 +695,7 @@ SMALL_EXPERIMENT = ExperimentSpec(
     seeds=(42, 52),
     exact_cuts=True,
     fit_partitions=8,
+    parallel_fits=4,
 )
 _EXPERIMENTS: dict[tuple[str, str], tuple[ExperimentResult, str]] = {}
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +39,14 @@ def exact_quantiles(
     points = materialize(counted, "quantile-points")
     total = points.agg(F.sum("rows").alias("total")).first()["total"] or 0
     running = running_totals(points, column, ["rows"], rows_per_range=rows_per_range)
+    # Whole-number ranks, so that no rounding of share * total moves a cut by one row.
+    ranks = [max(1, ceil(Fraction(str(float(share))) * total)) for share in shares]
     reached = [
-        F.min(F.when(F.col("cum_rows") >= F.lit(float(share)) * F.lit(total), F.col(column))).alias(f"q{i}")
+        F.min(F.when(F.col("cum_rows") >= F.lit(rank), F.col(column))).alias(f"q{i}")
+        for i, rank in enumerate(ranks)
+    ]
+    pairs = [
+        F.struct(F.lit(float(share)).alias("share"), F.col(f"q{i}").alias("value"))
         for i, share in enumerate(shares)
     ]
-    pairs = [F.struct(F.lit(float(share)).alias("share"), F.col(f"q{i}").alias("value")) for i, share in enumerate(shares)]
     return running.agg(*reached).select(F.inline(F.array(*pairs)))

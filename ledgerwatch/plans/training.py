@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from ledgerwatch.operators.summary import long_metrics, run_summary
 from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import EXPERIMENT_METRICS_SCHEMA, EXPERIMENT_SUMMARY_SCHEMA
 from ledgerwatch.sources.registry import ModelRecord, register
-from ledgerwatch.spec import ExperimentSpec, TransactionSpec
+from ledgerwatch.spec import Candidate, ExperimentSpec, TransactionSpec
 
 PROTOCOL = "chronological split; tuning on validation only; repeated seeded fits"
 
@@ -92,16 +93,24 @@ def fit_runs(
     layout = training_layout(
         train, weights.legit, weights.positive, spec, experiment.fit_partitions
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    runs = []
+
+    planned = [
+        (position, candidate, run_id, seed)
+        for position, candidate in enumerate(experiment.candidates)
+        for run_id, seed in enumerate(experiment.seeds, start=1)
+    ]
+
+    def fit(plan: tuple[int, Candidate, int, int]) -> FittedRun:
+        position, candidate, run_id, seed = plan
+        fitted = fit_ensemble(layout, candidate, seed, spec)
+        fitted.save(f"{model_base}/{candidate.id}/seed-{seed}")
+        return FittedRun(candidate.id, position, run_id, seed, fitted)
+
     try:
-        for position, candidate in enumerate(experiment.candidates):
-            for run_id, seed in enumerate(experiment.seeds, start=1):
-                fitted = fit_ensemble(layout, candidate, seed, spec)
-                fitted.save(f"{model_base}/{candidate.id}/seed-{seed}")
-                runs.append(FittedRun(candidate.id, position, run_id, seed, fitted))
+        with ThreadPool(max(1, experiment.parallel_fits)) as pool:
+            return pool.map(inheritable_thread_target(train.sparkSession)(fit), planned, chunksize=1)
     finally:
         layout.unpersist()
-    return runs
 
 
 def validation_results(

@@ -149,6 +149,9 @@ class ExperimentSpec:
     ``fit_partitions`` fixes the row layout a fit sees. Tree training depends on that
     layout, not only on its seed, so the number must stay the same for a repeatable fit;
     raise it with the data so that one partition fits in an executor.
+
+    ``parallel_fits`` fits run side by side. Late tree levels are small jobs that leave a
+    cluster idle; each fit running at once caches its own copy of the binned rows.
     """
 
     candidates: tuple[Candidate, ...] = DEFAULT_CANDIDATES
@@ -159,6 +162,7 @@ class ExperimentSpec:
     quantile_error: float = 1e-4
     exact_cuts: bool = False
     fit_partitions: int = 200
+    parallel_fits: int = 1
 
     def candidate(self, candidate_id: str) -> Candidate:
         return next(item for item in self.candidates if item.id == candidate_id)

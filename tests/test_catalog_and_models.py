@@ -33,6 +33,7 @@ TINY = ExperimentSpec(
     ),
     seeds=(1, 2),
     fit_partitions=4,
+    parallel_fits=3,
 )
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -134,10 +135,11 @@ def test_running_totals_with_extreme_values(spark):
 def test_exact_quantiles_under_skew(spark, rows_per_range):
     values = [5.0] * 400 + [float(v) for v in range(1000)]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
-    got = quantiles.exact_quantiles(frame, "v", [0.0001, 0.25, 0.6, 0.8, 1.0], rows_per_range)
+    got = quantiles.exact_quantiles(frame, "v", [0.0001, 0.07, 0.25, 0.6, 0.8, 1.0], rows_per_range)
     ranked = sorted(values)
     for row in got.collect():
-        assert row["value"] == ranked[max(1, math.ceil(row["share"] * len(values))) - 1]
+        rank = math.ceil(Fraction(str(row["share"])) * len(values))
+        assert row["value"] == ranked[max(1, rank) - 1]
 
 
 def metric_rows(spark, rows):
