@@ -174,8 +174,6 @@ def silver_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = (f"{base}/clean", f"{base}/features")
     raw = views.bronze(spark, sf_dir)
     tables = layer_tables(EVENTS)
-    for name, target in zip(("silver.transactions_clean", "silver.transactions_features"), targets):
-        spark.createDataFrame([], tables[name].stored_schema).write.parquet(target)
     for since in (None, None, views.INGESTED_AT):
         extend_silver(raw, EVENTS, *targets, since=since)
     return _rows_per_date(read_layer(spark, tables["silver.transactions_features"], targets[1]))

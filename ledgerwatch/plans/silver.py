@@ -75,7 +75,7 @@ def extend_silver(
         ("silver.transactions_clean", rows, clean_target),
         ("silver.transactions_features", feature_rows(rows, spec), features_target),
     ):
-        stored = read_layer(spark, tables[name], target)
+        stored = read_layer(spark, tables[name], target, missing_is_empty=True)
         if since is not None:
             stored = stored.filter(F.col(spec.ingested_at) >= F.lit(since).cast("timestamp"))
         missing = frame.join(stored.select(spec.raw_id), spec.raw_id, "left_anti")

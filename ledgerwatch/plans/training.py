@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from multiprocessing.pool import ThreadPool
@@ -40,7 +41,12 @@ from ledgerwatch.operators.split import (
 )
 from ledgerwatch.operators.summary import long_metrics, run_summary
 from ledgerwatch.session import materialize
-from ledgerwatch.sources.catalog import EXPERIMENT_METRICS_SCHEMA, EXPERIMENT_SUMMARY_SCHEMA
+from ledgerwatch.sources.catalog import (
+    EXPERIMENT_METRICS_SCHEMA,
+    EXPERIMENT_SUMMARY_SCHEMA,
+    layer_tables,
+    save_layer,
+)
 from ledgerwatch.sources.registry import ModelRecord, register
 from ledgerwatch.spec import Candidate, ExperimentSpec, TransactionSpec
 
@@ -286,3 +292,17 @@ def run_experiment(
     return ExperimentResult(
         metrics, summary, model_metrics, long_model_metrics(model_metrics, float(threshold)), record
     )
+
+
+def write_experiment(
+    result: ExperimentResult, spec: TransactionSpec, targets: Mapping[str, str] | None = None
+) -> None:
+    """Append an experiment's rows to its four tables; ``targets`` replaces table names."""
+    tables = layer_tables(spec)
+    for name, rows in (
+        ("gold.experiment_metrics", result.metrics),
+        ("gold.experiment_summary", result.summary),
+        ("gold.model_metrics", result.model_metrics),
+        ("ml.model_metrics", result.long_model_metrics),
+    ):
+        save_layer(rows, tables[name], target=(targets or {}).get(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,12 +262,27 @@ def replace_step(
     )
 
 
-def read_layer(spark: SparkSession, table: LayerTable, source: str | None = None) -> DataFrame:
-    """A layer table by catalog name or folder, with its declared column order."""
+def read_layer(
+    spark: SparkSession,
+    table: LayerTable,
+    source: str | None = None,
+    missing_is_empty: bool = False,
+) -> DataFrame:
+    """A layer table by catalog name or folder, with its declared column order.
+
+    With ``missing_is_empty`` a folder nothing was written to yet reads as no rows.
+    """
     source = source or table.name
-    rows = (
-        spark.read.schema(table.stored_schema).parquet(source) if "/" in source else spark.table(source)
-    )
+    try:
+        rows = (
+            spark.read.schema(table.stored_schema).parquet(source)
+            if "/" in source
+            else spark.table(source)
+        )
+    except AnalysisException as error:
+        if not (missing_is_empty and error.getCondition() == "PATH_NOT_FOUND"):
+            raise
+        rows = spark.createDataFrame([], table.stored_schema)
     return _declared_order(rows, table)
 
 

@@ -73,13 +73,17 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def start_append(
     stream: DataFrame,
-    path: str,
+    target: str,
     checkpoint: str,
     partition_by: Sequence[str] = (),
     trigger: Mapping[str, object] | None = None,
     sink_format: str = "parquet",
 ) -> StreamingQuery:
-    """Append a stream to files, exactly once per checkpoint. Default trigger unless given."""
+    """Append a stream to a folder or catalog table, exactly once per checkpoint.
+
+    ``target`` with a slash is a folder. Without a trigger the next micro-batch starts as
+    soon as the last one is done.
+    """
     writer = (
         stream.writeStream.format(sink_format)
         .outputMode("append")
@@ -89,4 +93,4 @@ def start_append(
         writer = writer.partitionBy(*partition_by)
     if trigger:
         writer = writer.trigger(**trigger)
-    return writer.start(path)
+    return writer.start(target) if "/" in target else writer.toTable(target)

@@ -95,7 +95,7 @@ def unparsed(parsed: DataFrame) -> DataFrame:
 def start_bronze(
     messages: DataFrame,
     spec: TransactionSpec,
-    path: str,
+    target: str,
     checkpoint: str,
     trigger: dict[str, object] | None = None,
     sink_format: str = "parquet",
@@ -103,4 +103,4 @@ def start_bronze(
     """Append parsed messages to the raw table, partitioned by ingestion date."""
     table = layer_tables(spec)["bronze.transactions_raw"]
     rows = table.laid_out(parse_messages(messages, spec))
-    return start_append(rows, path, checkpoint, table.partition_by, trigger, sink_format)
+    return start_append(rows, target, checkpoint, table.partition_by, trigger, sink_format)

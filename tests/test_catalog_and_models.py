@@ -15,7 +15,12 @@ from ledgerwatch.operators.ensemble import (
     with_feature_vector,
 )
 from ledgerwatch.operators.kpi import alerts
-from ledgerwatch.plans.training import fit_runs, prepare_blocks, run_experiment
+from ledgerwatch.plans.training import (
+    fit_runs,
+    prepare_blocks,
+    run_experiment,
+    write_experiment,
+)
 from ledgerwatch.session import shared_folder
 from ledgerwatch.sources.catalog import create_tables, layer_tables, read_layer, save_layer
 from ledgerwatch.sources.readers import stream_table
@@ -158,6 +163,18 @@ def test_deployed_model_metrics(experiment):
     assert set(record.test_summary) == {"precision", "recall", "f1", "auc_pr", "roc_auc"}
 
 
+def test_experiment_tables(spark, experiment):
+    create_tables(spark, SPEC)
+    write_experiment(experiment[0], SPEC)
+    sizes = {
+        "gold.experiment_metrics": 6,
+        "gold.experiment_summary": 18,
+        "gold.model_metrics": 19,
+        "ml.model_metrics": experiment[0].long_model_metrics.count(),
+    }
+    assert {name: spark.table(name).count() for name in sizes} == sizes
+
+
 def test_fits_do_not_depend_on_the_layout(spark, typed):
     models = []
     for frame in (typed, typed.repartition(9, "x"), typed.orderBy(F.desc("Time")).coalesce(1)):

@@ -98,8 +98,6 @@ def test_rebuilding_the_typed_layer_adds_nothing(spark, folder):
 def test_extending_the_typed_layer(spark, folder):
     targets = (folder("clean"), folder("features"))
     tables = layer_tables(SPEC)
-    for name, target in zip(("silver.transactions_clean", "silver.transactions_features"), targets):
-        spark.createDataFrame([], tables[name].stored_schema).write.parquet(target)
     extend_silver(bronze(spark, 20), SPEC, *targets)
     both = bronze(spark, 20).unionByName(bronze(spark, 50, "2024-02-05").filter("Time >= 20"))
     for since in ("2024-02-02", None, "2024-02-05"):
@@ -155,6 +153,18 @@ def test_stream_restart_adds_only_what_is_new(spark, folder):
     assert stored.filter("ingestion_date is null").count() == 0
 
 
+def test_streaming_into_a_catalog_table(spark, folder):
+    table = layer_tables(SPEC)["bronze.transactions_raw"]
+    spark.sql("CREATE NAMESPACE IF NOT EXISTS streamed")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.stored_schema)
+    spark.sql(f"CREATE TABLE streamed.raw ({columns}) USING parquet PARTITIONED BY (ingestion_date)")
+    source, checkpoint = folder("topic"), folder("checkpoint")
+    messages(spark, [EVENT, "junk"]).write.parquet(source)
+    for _ in range(2):
+        run_bronze(spark, source, "streamed.raw", checkpoint)
+    assert read_layer(spark, table, "streamed.raw").count() == 2
+
+
 def test_replay_from_an_offset(spark, folder):
     rows = text_rows(spark, 100).withColumn("Time", F.col("Time").cast("double"))
     batches = replay.replay_batches(rows, ["Time"], batch_size=20, start_offset=10, max_records=50)
