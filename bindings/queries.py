@@ -417,7 +417,9 @@ def exact_cut_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def temporal_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.silver(spark, sf_dir)
-    single = duplicates.keep_first(rows, EVENTS.id, [EVENTS.raw_id], [EVENTS.id, EVENTS.label, "Time"])
+    columns = (EVENTS.id, EVENTS.label, EVENTS.time)
+    single = duplicates.keep_first(rows, EVENTS.id, [EVENTS.raw_id], columns)
+    single = materialize(single, "single-rows")
     cuts = time_cuts(single, EVENTS, SplitFractions(), exact=True)
     return block_counts(with_block(single, EVENTS, cuts))
 

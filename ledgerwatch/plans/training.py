@@ -11,7 +11,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators.classes import ClassWeights, balanced_weights
+from ledgerwatch.operators.classes import ClassWeights, checked_weights
 from ledgerwatch.operators.curves import areas_under_curves
 from ledgerwatch.operators.duplicates import keep_first
 from ledgerwatch.operators.ensemble import (
@@ -58,11 +58,17 @@ class Blocks:
     rows: DataFrame
     cuts: TimeCuts
     row_counts: dict[str, int]
+    label_counts: DataFrame
 
     def block(self, name: str) -> DataFrame:
         """One block; the stored table is partitioned by block, so others are not read."""
         return self.rows.filter(F.col("block") == name).drop("block")
 
+    def weights(self, *names: str, label: str = "label") -> ClassWeights:
+        """Balanced weights over some blocks, from the stored counts: no scan of the rows."""
+        counts = self.label_counts.filter(F.col("block").isin(*names))
+        return checked_weights(counts.groupBy(label).agg(F.sum("count").alias("count")), label)
+
 
 @dataclass(frozen=True)
 class ExperimentResult:
@@ -86,7 +92,8 @@ def prepare_blocks(silver: DataFrame, spec: TransactionSpec, experiment: Experim
         single, spec, experiment.split, experiment.quantile_error, experiment.exact_cuts
     )
     blocks = materialize(with_block(single, spec, cuts), "blocks", ("block",))
-    return Blocks(blocks, cuts, check_blocks(block_counts(blocks, spec.label), spec.label))
+    counts = materialize(block_counts(blocks, spec.label), "block-counts")
+    return Blocks(blocks, cuts, check_blocks(counts, spec.label), counts)
 
 
 def fit_runs(
@@ -95,7 +102,7 @@ def fit_runs(
     """Fit and save every candidate with every seed. Each fit is a distributed job; they
     share one stored training layout."""
     train = blocks.block(TRAIN)
-    weights = balanced_weights(train, spec.label)
+    weights = blocks.weights(TRAIN, label=spec.label)
     layout = training_layout(
         train, weights.legit, weights.positive, spec, experiment.fit_partitions
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -165,7 +172,7 @@ def fit_deployment(
 ) -> tuple[Ensemble, ClassWeights]:
     """Refit the champion on train and validation rows with the first seed."""
     rows = blocks.block(TRAIN).unionByName(blocks.block(VALIDATION))
-    weights = balanced_weights(rows, spec.label)
+    weights = blocks.weights(TRAIN, VALIDATION, label=spec.label)
     layout = training_layout(
         rows, weights.legit, weights.positive, spec, experiment.fit_partitions
     ).persist(StorageLevel.MEMORY_AND_DISK)

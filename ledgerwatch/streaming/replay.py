@@ -23,8 +23,8 @@ def replay_batches(
     """Rows from ``start_offset`` on, at most ``max_records`` (0: all), numbered into batches."""
     indexed = with_row_index(rows, order_by)
     kept = row_slice(indexed, start_offset, max_records)
-    place = F.col("row_index") - F.lit(start_offset)
-    return kept.withColumn("replay_batch", F.floor(place / F.lit(batch_size)).cast("long"))
+    batch = F.expr(f"(row_index - {int(start_offset)}) div {int(batch_size)}")
+    return kept.withColumn("replay_batch", batch)
 
 
 def write_replay(
