@@ -29,7 +29,7 @@ from ledgerwatch.operators.selection import (
     median_threshold,
 )
 from ledgerwatch.operators.silver import clean, with_feature_array, with_transaction_id
-from ledgerwatch.operators.split import TimeCuts, block_counts, time_cuts, time_range, with_block
+from ledgerwatch.operators.split import block_counts, time_cuts, time_range, with_block
 from ledgerwatch.plans.gold import INDICATOR_TABLES, build_indicators, export_gold, indicators
 from ledgerwatch.plans.silver import extend_silver, rebuild_silver, silver_rows
 from ledgerwatch.plans.training import ExperimentResult, run_experiment

@@ -164,5 +164,10 @@ class ExperimentSpec:
     fit_partitions: int = 200
     parallel_fits: int = 1
 
+    def __post_init__(self) -> None:
+        for name in ("candidates", "seeds", "thresholds"):
+            if not getattr(self, name):
+                raise ValueError(f"An experiment needs at least one of its {name}.")
+
     def candidate(self, candidate_id: str) -> Candidate:
         return next(item for item in self.candidates if item.id == candidate_id)

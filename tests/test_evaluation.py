@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.operators import curves, evaluation, ordered, quantiles, selection
 from ledgerwatch.session import materialize
-from ledgerwatch.spec import BEST_F1, DEFAULT_THRESHOLDS, RECALL_WITH_FLOOR_ALIAS, ThresholdPolicy
+from ledgerwatch.spec import (
+    BEST_F1,
+    DEFAULT_THRESHOLDS,
+    RECALL_WITH_FLOOR_ALIAS,
+    ExperimentSpec,
+    ThresholdPolicy,
+)
 
 
 def scored_rows(spark, seed, size, groups=("a", "b"), hot=True):
@@ -173,6 +179,12 @@ def test_unknown_policy():
         ThresholdPolicy("most_alerts")
 
 
+@pytest.mark.parametrize("part", ["candidates", "seeds", "thresholds"])
+def test_an_experiment_needs_every_part(part):
+    with pytest.raises(ValueError, match=part):
+        ExperimentSpec(**{part: ()})
+
+
 def test_choice_from_nothing_is_nothing(spark):
     assert selection.choose_threshold(metric_rows(spark, []), ThresholdPolicy()).count() == 0
 
