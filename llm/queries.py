@@ -9,9 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwatch.session import scratch_path
+from llm import host_rules, mixing, urls
+from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
 
+__all__ = ["ORACLES", "QUERIES"]
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -29,8 +33,32 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=1024, end=2)
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_sizes(docs, weights=(3, 1, 2), share=(3, 2), cap=2)
+
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op6_host_rules": op6_host_rules,
+    "op7_mix_sources": op7_mix_sources,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_url_filter": op9_url_filter,
 }
-ORACLES: dict[str, str] = {}
