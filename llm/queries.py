@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerwatch.session import scratch_path
-from llm import host_rules, mixing, urls
+from llm import host_rules, mixing, simhash, urls
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-token-files")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end=0)
@@ -56,6 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_token_files": op3_token_files,
     "op6_host_rules": op6_host_rules,
     "op7_mix_sources": op7_mix_sources,
