@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.rows import on_workers, spans, stored
+from llm.rows import on_workers, smaller, spans, stored
 from llm.tokens import encoder, with_end
 
 RANKS = 1 << 44  # above any count of pieces of one length
@@ -124,7 +124,7 @@ def _pieces(path: str, end: int | None, capacity: int, keep_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in smaller(batches, 1):
             ids, counts = encoder(path).encode(batch.column(1))
             if end is not None:
                 ids, counts = with_end(ids, counts, end)

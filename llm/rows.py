@@ -99,6 +99,18 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
 
 
+def smaller(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a text column has about ``most`` bytes in each, or one row."""
+    for batch in batches:
+        bounds = offsets_of(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1
+            stop = min(max(stop, at + 1), batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def offsets_of(column: pa.Array) -> np.ndarray:
     """Where each list, text or binary value of an Arrow column begins, and the end."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.rows import Ranges, on_workers, parts_of, ranges_of
+from llm.rows import Ranges, on_workers, parts_of, ranges_of, smaller
 from llm.tokens import encoder, with_end
 
 BLOCK = 256
@@ -136,7 +136,7 @@ CODED = "part int, doc_id long, tie long, n long, words binary, sizes binary"
 
 def _coded(path: str, end: int | None, ranges: Ranges):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches, 1):
             ids, counts = encoder(path).encode(batch.column(1))
             if end is not None:
                 ids, counts = with_end(ids, counts, end)

@@ -18,7 +18,7 @@ import regex
 
 from llm.rows import spans
 
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 1_000_000  # about 200 bytes each
 # Fixed value: how byte-level tokenizers of this family cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -61,13 +61,17 @@ class Encoder:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
             tokens = self.tokenizer.model.tokenize(spelled)
             found = np.array([t.id for t in tokens], dtype=np.uint32).tobytes()
-            if len(self.known) >= KNOWN_PIECES:
-                self.known.clear()
-            self.known[piece] = found
+            if len(self.known) < KNOWN_PIECES:
+                self.known[piece] = found
         return found
 
-    def _part(self, part: str) -> bytes:
-        if any(s in part for s in self.special):
+    def _part(self, part: str, special: bool) -> bytes:
+        # Letters behind a space are one piece, a mark behind them the next.
+        if part[1:].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self.known.get(part) or self._piece(part)
+        if part[-1:] in (",", ".") and part[1:-1].isalpha() and (part[0] == " " or part[0].isalpha()):
+            return self._piece(part[:-1]) + self._piece(part[-1])
+        if special and any(s in part for s in self.special):
             return self.whole([part])[0].tobytes()
         return b"".join(map(self._piece, self.pattern.findall(part)))
 
@@ -89,7 +93,8 @@ class Encoder:
         # A text's first part has no space before it; the others have one.
         spaced = pc.if_else(pa.array(first), parts, pc.binary_join_element_wise(" ", parts, ""))
         numbers = spaced.dictionary_encode()
-        coded = [self._part(p) for p in numbers.dictionary.to_pylist()]
+        special = any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special)
+        coded = [self._part(p, special) for p in numbers.dictionary.to_pylist()]
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
         index = numbers.indices.to_numpy(False)
