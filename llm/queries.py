@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerwatch.session import scratch_path
-from llm import host_rules, mixing, simhash, urls
+from llm import host_rules, mixing, repeats, simhash, urls
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
@@ -59,6 +60,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_files": op3_token_files,
@@ -66,4 +72,5 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_repeated_phrases": op10_repeated_phrases,
 }
