@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.session import scratch_path
-from llm import host_rules, mixing, repeats, simhash, urls
+from llm import host_rules, interpolation, mixing, repeats, simhash, urls
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
@@ -38,6 +38,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=1024, end=2)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_files": op3_token_files,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op6_host_rules": op6_host_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_best_fit_packing": op8_best_fit_packing,
