@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.session import scratch_path
-from llm import host_rules, interpolation, mixing, repeats, simhash, urls
+from llm import graph_search, host_rules, interpolation, mixing, repeats, simhash, urls
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
@@ -28,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4)
 
 
+def op2_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-token-files")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end=0)
@@ -71,6 +75,7 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_graph_search": op2_graph_search,
     "op3_token_files": op3_token_files,
     "op4_deleted_interpolation": op4_deleted_interpolation,
     "op6_host_rules": op6_host_rules,
