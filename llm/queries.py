@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.session import scratch_path
-from llm import graph_search, host_rules, interpolation, mixing, repeats, simhash, urls
+from llm import graph_search, host_rules, interpolation, mixing, pu_quality, repeats, simhash, urls
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
@@ -46,6 +46,10 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"))
 
 
+def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_graph_search": op2_graph_search,
     "op3_token_files": op3_token_files,
     "op4_deleted_interpolation": op4_deleted_interpolation,
+    "op5_positive_unlabelled": op5_positive_unlabelled,
     "op6_host_rules": op6_host_rules,
     "op7_mix_sources": op7_mix_sources,
     "op8_best_fit_packing": op8_best_fit_packing,
