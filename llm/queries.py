@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerwatch.session import scratch_path
 from llm import graph_search, host_rules, interpolation, mixing, pu_quality, repeats, simhash, urls
 from llm.oracles import ORACLES
@@ -88,4 +89,5 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_repeated_phrases": op10_repeated_phrases,
+    "pipeline": corpus_pipeline.run,
 }
