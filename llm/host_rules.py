@@ -126,7 +126,8 @@ def host_verdicts(measured: DataFrame, source_col: str, host_limit: float) -> Da
     """One row per host: host, host_rate (shrunk) and distrusted. A null host is one of its own.
 
     The prior's mean is the failure rate of all documents. Its strength comes from the variance
-    of the hosts' rates, weighted by their documents, and lies between 1 and 1,000,000 documents.
+    of the hosts' rates, weighted by their documents, and lies between 8 and 1,000,000 documents, so that one
+    failure of a host with one document does not condemn it.
     """
     failed = F.when(hard_failure() | soft_failure(), 1).otherwise(0)
     hosts = measured.groupBy(F.col(source_col).alias("host")).agg(
@@ -138,7 +139,7 @@ def host_verdicts(measured: DataFrame, source_col: str, host_limit: float) -> Da
     mean = (all_rows["f"] or 0) / total if total else 0.0
     apart = F.col("failures") / F.col("n") - F.lit(mean)
     variance = (hosts.agg(F.sum(F.col("n") * apart * apart)).first()[0] or 0.0) / max(1, total)
-    strength = min(1e6, max(1.0, mean * (1 - mean) / variance - 1)) if variance > 0 else 1e6
+    strength = min(1e6, max(8.0, mean * (1 - mean) / variance - 1)) if variance > 0 else 1e6
     rate = (F.lit(mean * strength) + F.col("failures")) / (F.lit(strength) + F.col("n"))
     return stored(hosts.select("host", "n", rate.alias("host_rate"), (rate > host_limit).alias("distrusted")), "host-verdicts")
 

@@ -60,7 +60,7 @@ f AS (
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
 g AS (SELECT sum(bad)::DOUBLE / sum(n)::DOUBLE AS mean, sum(n)::DOUBLE AS n FROM h),
 v2 AS (SELECT any_value(g.mean) AS mean, sum(h.n * (h.bad::DOUBLE / h.n - g.mean) * (h.bad::DOUBLE / h.n - g.mean)) / any_value(g.n) AS variance FROM h, g),
-k AS (SELECT mean, CASE WHEN variance > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / variance - 1)) ELSE 1e6 END AS strength FROM v2),
+k AS (SELECT mean, CASE WHEN variance > 0 THEN least(1e6, greatest(8.0, mean * (1 - mean) / variance - 1)) ELSE 1e6 END AS strength FROM v2),
 z AS (SELECT h.source, (k.mean * k.strength + h.bad) / (k.strength + h.n) > 0.5 AS distrusted FROM h, k)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
        NOT f.base_failed AND NOT (f.soft AND z.distrusted) AS kept
