@@ -5,8 +5,8 @@ the logistic loss, a class prior p and the linear score z, the risk without bias
 
     p * E_pos[loss(z)] + (E_all[loss(-z)] - p * E_pos[loss(-z)])
 
-The bracket is the risk on negatives, which cannot be negative; steps that would make it so are
-cut back to where it is not (a model that goes on fits the positives by heart). The prior is
+The bracket is the risk on negatives, which cannot be negative; steps that would make it so go along
+the border instead (a model that crosses it fits the positives by heart). The prior is
 estimated without negatives: a first model tells positives from all texts, and of the score
 ranges that hold most positives, the one where positives are least diluted gives the prior.
 
@@ -39,8 +39,8 @@ DIGITS = b"0123456789"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CONTROLS = bytes(set(range(32)) - {9, 10, 11, 12, 13}) + b"\x7f"
 BINS = 2000
-STEPS = 12
-RIDGE = 1e-4
+STEPS = 16
+BORDER = 1e-3  # how far below zero a step may end, since the border is curved
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -135,9 +135,13 @@ class Risk:
 
 def fit(sides: DataFrame, prior: float | None, width: int = WIDTH) -> np.ndarray:
     """Weights by Newton steps. ``prior`` None: positives against all texts, as two classes of
-    equal weight, for the first model. ``sides`` (side, x): 1 positives, 0 all texts."""
+    equal weight, for the first model. ``sides`` (side, x): 1 positives, 0 all texts. What a
+    feature's usual spread adds to a score is held back by a penalty that fades with the number
+    of positives."""
     w = np.zeros(width)
     risk = Risk(sides, w)
+    spread = np.maximum(4 * np.diag(risk.curve[0]) - risk.x[0] ** 2, 0)  # weights 0: a quarter of squares
+    ridge = np.diag(spread / max(1.0, risk.n[1]) + 1e-6)
     for _ in range(STEPS):
         if prior is None:
             # loss(z) has gradient p - 1 where loss(-z) has p.
@@ -147,18 +151,25 @@ def fit(sides: DataFrame, prior: float | None, width: int = WIDTH) -> np.ndarray
             # loss(z) - loss(-z) = -z: the positives add their mean alone.
             slope = risk.gradient[0] - prior * risk.x[1]
             curve = risk.curve[0]
-        step = np.linalg.solve(curve + RIDGE * np.eye(width), slope + RIDGE * w)
+        step = np.linalg.solve(curve + ridge, slope + ridge @ w)
+        if prior is not None:
+            # Where the step would make the risk on negatives negative, it goes along the border.
+            falls = risk.gradient[0] - prior * risk.gradient[1]
+            over = falls @ step - risk.negative(prior)
+            if over > 0:
+                aside = np.linalg.solve(curve + ridge, falls)
+                step = step - over / (falls @ aside) * aside
         cut = 1.0
         while True:
             tried = w - cut * step
             risk = Risk(sides, tried)
-            if prior is None or risk.negative(prior) >= 0 or cut < 0.05:
+            if prior is None or risk.negative(prior) >= -BORDER or cut < 0.05:
                 break
             cut /= 2
-        if prior is not None and risk.negative(prior) < 0:
+        if prior is not None and risk.negative(prior) < -BORDER:
             break
         w = tried
-        if cut < 1 or np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 1e-2:
             break
     return w
 
@@ -191,10 +202,11 @@ def estimate_prior(sides: DataFrame, w: np.ndarray, least: float = 0.3) -> float
     if not both[:, -1].all():
         return 0.5
     share = both / both[:, -1:]
-    # Small counts stray: give the ratio the benefit of two standard errors.
+    # Small counts stray, and the smallest of many ratios strays downwards: two standard errors.
     some = share[1] >= least
-    error = 2 * np.sqrt(share[0] * (1 - share[0]) / both[0, -1])
-    return float(np.clip(((share[0] + error) / np.maximum(share[1], 1e-12))[some].min(), 0.01, 0.99))
+    error = 2 * np.sqrt(share * (1 - share) / both[:, -1:])
+    ratio = (share[0] + error[0])[some] / np.maximum(share[1] - error[1], 1e-3)[some]
+    return float(np.clip(ratio.min(), 0.01, 0.99))
 
 
 def _scored(w: np.ndarray, threshold: float):
