@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ from llm.rows import crc_rest, on_workers, parts_of, stored
 from llm.text import texts_of
 
 WORD, PAIR = 1, 2
+PAIR_BITS = 56
 END = b" "  # no word holds a space
 BUCKETS = 48
 STEPS_AN_OCTAVE = 4
@@ -70,34 +73,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Hashes of all tokens of a chunk's texts, of their contexts' and of the pairs."""
+    """The tokens of a chunk's texts: numbers of their words and of the words before, hashes of
+    the distinct words, and hashes of the pairs."""
 
     def __init__(self, texts: list[bytes]):
         words = [t.lower().split() for t in texts]
         for own in words:
             own.append(END)
         self.counts = np.fromiter(map(len, words), np.int64, len(words))
-        flat = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
-        digests = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], dtype=np.uint64)
-        self.word = digests[flat.indices.to_numpy(zero_copy_only=False)]
+        flat = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        self.word = flat.indices.to_numpy(zero_copy_only=False)
+        self.digests = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], dtype=np.uint64)
         self.text = np.repeat(np.arange(len(texts)), self.counts)
         # The word before; a text's first word follows an end.
         self.before = np.concatenate([self.word[-1:], self.word[:-1]])
-        self.before[np.cumsum(self.counts) - self.counts] = np.uint64(xxhash.xxh64_intdigest(END))
-        self.pair = _mixed(self.before * np.uint64(0x9E3779B97F4A7C15) + self.word) >> np.uint64(8)
+        self.before[np.cumsum(self.counts) - self.counts] = self.word[-1]
+        mixed = _mixed(self.digests) * np.uint64(0x9E3779B97F4A7C15)
+        self.pair = _mixed(mixed[self.before] + self.digests[self.word]) >> np.uint64(64 - PAIR_BITS)
 
 
-def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order of the part that counts them, and where each part's begin."""
-    distinct = np.unique(keys)
-    part = (distinct % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return distinct[order], np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-
-
-def _sums(keys: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """How many of the chosen ``own`` equal each of ``keys`` (sorted ascending)."""
-    return np.bincount(np.searchsorted(keys, own[chosen]), minlength=len(keys))
+def _bounds(keys: np.ndarray, bits: int, parts: int) -> list[int]:
+    """Where the keys of each part begin: parts are equal ranges of the hashes, so that sorted
+    keys come part by part."""
+    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+    return [0, *np.cumsum(np.bincount(part.astype(np.int64), minlength=parts)).tolist()]
 
 
 QUESTION = "kind int, part int, chunk long, keys binary, kept binary, held binary"
@@ -109,13 +108,20 @@ def _questions(parts: int):
         tokens = Tokens(texts_of(_plain(table.column("text"))))
         fold = table.column("fold").to_numpy()[tokens.text]
         chunk = table.column("chunk")[0].as_py()
+        # 0 takes no part, 1 is for the weights, 2 for the first counts.
+        role = np.minimum(fold, 2).astype(np.uint64)
+        order = np.argsort(tokens.digests)
+        words = [np.bincount(tokens.word[role == k], minlength=len(order))[order] for k in (2, 1)]
+        both = np.sort((tokens.pair << np.uint64(2)) | role)
+        pairs = both >> np.uint64(2)
+        begin = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        sums = [np.add.reduceat((both & np.uint64(3)) == np.uint64(k), begin, dtype=np.int64) for k in (2, 1)]
         out: list[tuple] = []
-        for kind, own in ((WORD, tokens.word), (PAIR, tokens.pair)):
-            distinct = np.unique(own)
-            counts = [_sums(distinct, own, fold > 1), _sums(distinct, own, fold == 1)]
-            keys, bounds = dealt(distinct, parts)
-            kept, held = (c[np.searchsorted(distinct, keys)].astype(np.uint64) for c in counts)
-            for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        for kind, keys, bits, (kept, held) in (
+            (WORD, tokens.digests[order], 64, words), (PAIR, pairs[begin], PAIR_BITS, sums),
+        ):
+            bounds = _bounds(keys, bits, parts)
+            for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 if b > a:
                     out.append((kind, part, chunk, pack_sorted(keys[a:b]), pack(kept[a:b]), pack(held[a:b])))
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -134,18 +140,21 @@ ANSWER = "chunk long, kind int, part int, kept binary, full binary, sums array<l
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """Sums over all chunks, for each chunk in the order of its keys; and, under chunk -1, how
-    many keys and tokens this part has, in the kept part and in all learning texts."""
+    """Sums over all chunks, for each chunk in the order of its keys: ``full`` over all learning
+    texts, and ``kept`` without those for the weights, for the keys that the chunk has in texts
+    for the weights. Under chunk -1: how many keys and tokens this part has, in either."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     asked = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     kept = np.zeros(len(keys), dtype=np.int64)
     held = np.zeros(len(keys), dtype=np.int64)
     for sums, name in ((kept, "kept"), (held, "held")):
-        np.add.at(sums, place, np.concatenate([unpack(x) for x in table.column(name).to_pylist()]).astype(np.int64))
+        sent = np.concatenate([unpack(x) for x in table.column(name).to_pylist()]).astype(np.int64)
+        np.add.at(sums, place, sent)
     full = kept + held
     ends = np.cumsum([len(x) for x in asked]).tolist()
     own = [place[b - len(x) : b] for x, b in zip(asked, ends)]
+    in_held = [place[b - len(x) : b][sent[b - len(x) : b] > 0] for x, b in zip(asked, ends)]
     chunks = [*table.column("chunk").to_pylist(), -1]
     totals = [int((kept > 0).sum()), int(kept.sum()), int((full > 0).sum()), int(full.sum())]
     return pa.table(
@@ -153,27 +162,27 @@ def _answers(table: pa.Table) -> pa.Table:
             "chunk": pa.array(chunks, pa.int64()),
             "kind": pa.array([kind] * len(chunks), pa.int32()),
             "part": pa.array([part] * len(chunks), pa.int32()),
-            "kept": pa.array([*(pack(kept[x]) for x in own), None], pa.binary()),
+            "kept": pa.array([*(pack(kept[x]) for x in in_held), None], pa.binary()),
             "full": pa.array([*(pack(full[x]) for x in own), None], pa.binary()),
             "sums": pa.array([*[None] * len(own), totals], pa.list_(pa.int64())),
         }
     )
 
 
-def _counts(tokens: Tokens, answers: pa.Table, which: str, parts: int) -> tuple[np.ndarray, ...]:
+def _counts(tokens: Tokens, answers: pa.Table, which: str) -> tuple[np.ndarray, ...]:
     """Per token: counts of its pair, its context and its word."""
-    by: dict[int, dict[int, np.ndarray]] = {WORD: {}, PAIR: {}}
+    by: dict[int, list[tuple[int, np.ndarray]]] = {WORD: [], PAIR: []}
     for kind, part, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", which))):
-        by[kind][part] = unpack(data)
-    found = []
-    for kind, own, wanted in ((PAIR, tokens.pair, (tokens.pair,)), (WORD, tokens.word, (tokens.before, tokens.word))):
-        extra = np.array([xxhash.xxh64_intdigest(END)], dtype=np.uint64) if kind == WORD else own[:0]
-        keys, _ = dealt(np.concatenate([own, extra]), parts)
-        counts = np.concatenate([by[kind][p] for p in sorted(by[kind])]).astype(np.int64)
-        order = np.argsort(keys)
-        ascending, counts = keys[order], counts[order]
-        found += [counts[np.searchsorted(ascending, w)] for w in wanted]
-    return tuple(found)
+        by[kind].append((part, unpack(data)))
+    words, pairs = (np.concatenate([c for _, c in sorted(by[k], key=lambda x: x[0])]).astype(np.int64) for k in (WORD, PAIR))
+    count = np.empty(len(words), dtype=np.int64)
+    count[np.argsort(tokens.digests)] = words
+    order = np.argsort(tokens.pair)
+    ascending = tokens.pair[order]
+    begin = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]]))
+    pair = np.empty(len(order), dtype=np.int64)
+    pair[order] = np.repeat(pairs, np.diff(np.append(begin, len(order))))
+    return pair, count[tokens.before], count[tokens.word]
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -191,16 +200,15 @@ def _estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int)
     return np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(n, 1)
 
 
-def _cells(parts: int, n_kept: int):
+def _cells(n_kept: int):
     def of(texts: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["bucket", "pair", "word", "n"]
+        texts = texts.filter(pc.equal(texts.column("fold"), 1))
         if not texts.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names=names)
-        tokens = Tokens(texts_of(_plain(texts.column("text"))))
-        pair, context, word = _counts(tokens, answers, "kept", parts)
-        held = texts.column("fold").to_numpy()[tokens.text] == 1
-        by_pair, by_word = _estimates(pair[held], context[held], word[held], n_kept)
-        rows = np.column_stack([_bucket(context[held]), _step(by_pair), _step(by_word)])
+        pair, context, word = _counts(Tokens(texts_of(_plain(texts.column("text")))), answers, "kept")
+        by_pair, by_word = _estimates(pair, context, word, n_kept)
+        rows = np.column_stack([_bucket(context), _step(by_pair), _step(by_word)])
         cells, n = np.unique(rows, axis=0, return_counts=True)
         return pa.table([*(pa.array(c) for c in cells.T), pa.array(n.astype(np.int64))], names=names)
 
@@ -238,12 +246,12 @@ def fit_weights(cells: list[tuple[int, int, int, int]], even: float, rounds: int
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(parts: int, n: int, v: int, weights: np.ndarray):
+def _scores(n: int, v: int, weights: np.ndarray):
     def of(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _score_schema.empty_table()
         tokens = Tokens(texts_of(_plain(texts.column("text"))))
-        pair, context, word = _counts(tokens, answers, "full", parts)
+        pair, context, word = _counts(tokens, answers, "full")
         by_pair, by_word = _estimates(pair, context, word, n)
         w = weights[_bucket(context)]
         mixed = w[:, 0] * by_pair + w[:, 1] * by_word + w[:, 2] / (v + 1)
@@ -309,8 +317,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     v_kept, n_kept, v, n = reduce(lambda a, b: [x + y for x, y in zip(a, b)], [r["sums"] for r in sums], [0] * 4)
     replies = answers.where("chunk >= 0").drop("sums")
     grouped = texts.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    cells = grouped.applyInArrow(_cells(parts, n_kept), "bucket long, pair long, word long, n long")
+    cells = grouped.applyInArrow(_cells(n_kept), "bucket long, pair long, word long, n long")
     table = cells.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()
     weights = fit_weights([tuple(r) for r in table], 1.0 / (v_kept + 1))
     again = texts.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return again.applyInArrow(_scores(parts, n, v, weights), SCORE)
+    return again.applyInArrow(_scores(n, v, weights), SCORE)
