@@ -40,7 +40,8 @@ def areas_under_curves(
     sums = ranked.groupBy(*by).agg(
         F.sum("positives").alias("p"),
         F.sum("negatives").alias("n"),
-        F.sum(own_fp * (tp_before + tp) / 2.0).alias("roc_area"),
+        # As doubles before the product: counts of one score may be in the billions.
+        F.sum(own_fp.cast("double") * (tp_before + tp) / 2.0).alias("roc_area"),
         F.sum(own_tp * (precision_before + precision_here) / 2.0).alias("pr_area"),
     )
     p, n = F.col("p").cast("double"), F.col("n").cast("double")

@@ -120,29 +120,23 @@ def confusion_at_own_threshold(
     score: str = "fraud_score",
     label: str = "label",
 ) -> DataFrame:
-    """One matrix per run, each at the run's own threshold.
+    """One matrix per run of ``chosen``, each at the run's own threshold.
 
-    ``chosen`` holds one row per run. It is joined to per-run, per-score counts, so the
-    join never sees more than one row per distinct score. A run's scores would all meet in
-    one task of a shuffled join; the stored thresholds are counted, and broadcast as long
-    as there are at most ``MOST_BROADCAST_RUNS`` of them.
+    Thresholds are joined to the rows where they lie and the cells summed per run, so a task
+    sends one row per run and scores are not shuffled. The stored thresholds, one row a run,
+    are counted, and broadcast as long as there are at most ``MOST_BROADCAST_RUNS`` of them. A
+    run without rows gets zeros.
     """
     own = materialize(chosen.select(*by, "threshold"), "own-thresholds")
-    if own.count() <= MOST_BROADCAST_RUNS:
-        own = F.broadcast(own)
-    points = score_points(scored, score, label, by)
-    reached = F.col(score) >= F.col("threshold")
-
-    def total(column: str, when):
-        return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0))
-
-    return (
-        points.join(own, list(by))
-        .groupBy(*by, "threshold")
-        .agg(
-            total("positives", reached).alias("tp"),
-            total("negatives", reached).alias("fp"),
-            total("negatives", ~reached).alias("tn"),
-            total("positives", ~reached).alias("fn"),
-        )
+    few = F.broadcast(own) if own.count() <= MOST_BROADCAST_RUNS else own
+    reached, positive = F.col(score) >= F.col("threshold"), F.col(label) == 1
+    cells = {"tp": reached & positive, "fp": reached & ~positive, "tn": ~reached & ~positive, "fn": ~reached & positive}
+    counted = scored.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+    found = (
+        counted.select(*by, score, label)
+        .join(few, list(by))
+        .groupBy(*by)
+        .agg(*[F.count_if(when).alias(name) for name, when in cells.items()])
     )
+    filled = [F.coalesce(name, F.lit(0)).alias(name) for name in cells]
+    return own.join(found, list(by), "left").select(*by, "threshold", *filled)

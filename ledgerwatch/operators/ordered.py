@@ -16,19 +16,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 10_000
 RANGE_COLUMN = "_range"
 
 
-def _with_range(points: DataFrame, order: str, rows_per_range: int) -> DataFrame | None:
-    """Number value ranges so that a higher number always means higher values; None where
-    the whole table fits in one range."""
-    ranges = min(MOST_RANGES, ceil(points.count() / rows_per_range))
-    if ranges <= 1:
-        return None
+def _with_range(points: DataFrame, order: str, rows_per_range: int) -> DataFrame:
+    """Number value ranges so that a higher number always means higher values. There are as
+    many as the shuffle has partitions, or more where these would hold too many rows."""
+    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(2, least, ceil(points.count() / rows_per_range))
     shares = [step / ranges for step in range(1, ranges)]
     cuts = sorted(set(points.approxQuantile(order, shares, 1.0 / (4 * ranges))))
-    edges = [float("-inf"), *[cut for cut in cuts if isfinite(cut)], float("inf")]
+    inner = [cut for cut in cuts if isfinite(cut)]
+    if not inner:  # one value, or none
+        return points.withColumn(RANGE_COLUMN, F.lit(0.0))
+    edges = [float("-inf"), *inner, float("inf")]
     cutter = Bucketizer(splits=edges, inputCol=order, outputCol=RANGE_COLUMN, handleInvalid="keep")
     return cutter.transform(points)
 
@@ -49,14 +50,11 @@ def running_totals(
     """
     direction = F.desc if descending else F.asc
     ranged = _with_range(points, order, rows_per_range)
-    keys = list(by) if ranged is None else [*by, RANGE_COLUMN]
+    keys = [*by, RANGE_COLUMN]
     inside = (
         W.partitionBy(*keys).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     within = {m: F.sum(m).over(inside) for m in measures}
-    if ranged is None:
-        return points.select("*", *[within[m].alias(f"cum_{m}") for m in measures])
-
     earlier = (
         W.partitionBy(*by).orderBy(direction(RANGE_COLUMN)).rowsBetween(W.unboundedPreceding, -1)
     )

@@ -222,3 +222,21 @@ def test_median_of_an_even_count(spark):
 def test_default_grid():
     assert len(DEFAULT_THRESHOLDS) == 19
     assert (DEFAULT_THRESHOLDS[0], DEFAULT_THRESHOLDS[2], DEFAULT_THRESHOLDS[-1]) == (0.05, 0.15, 0.95)
+
+
+def test_areas_with_billions_of_rows_on_a_score(spark, monkeypatch):
+    """Stored counts of two scores, each held by more rows than fit a product of longs."""
+    many = 10_000_000_000
+    points = spark.createDataFrame(
+        [(0.9, 3 * many, many), (0.1, many, 3 * many)], "fraud_score double, positives long, negatives long"
+    )
+    monkeypatch.setattr(curves, "score_points", lambda *args: points)
+    row = curves.areas_under_curves(points).first()
+    assert row["roc_auc"] == pytest.approx(0.75)
+
+
+def test_a_run_without_rows_keeps_its_matrix(spark):
+    scored = spark.createDataFrame([("a", 0.9, 1.0), ("a", 0.2, 0.0)], "g string, fraud_score double, label double")
+    chosen = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "g string, threshold double")
+    got = evaluation.confusion_at_own_threshold(scored, chosen, ["g"])
+    assert {tuple(r) for r in got.collect()} == {("a", 0.5, 1, 0, 1, 0), ("b", 0.5, 0, 0, 0, 0)}
