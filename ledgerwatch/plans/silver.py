@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.classes import ClassWeights, balanced_weights
 from ledgerwatch.operators.silver import clean, with_class_weight, with_feature_array
+from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import layer_tables, read_layer, save_layer
 from ledgerwatch.spec import TransactionSpec
 
@@ -47,36 +50,45 @@ def rebuild_silver(
     save_layer(feature_rows(stored, spec), feature_table, overwrite=True, target=features_target)
 
 
+def _progress(rows: DataFrame, spec: TransactionSpec) -> DataFrame:
+    """Per ingestion date how many events there are, and a sum that tells which."""
+    marks = F.sum(F.xxhash64(spec.raw_id).cast("decimal(38,0)"))
+    date = F.to_date(spec.ingested_at).alias("progress_date")
+    return rows.groupBy(date).agg(F.count(F.lit(1)).alias("events"), marks.alias("marks"))
+
+
 def extend_silver(
-    bronze: DataFrame,
-    spec: TransactionSpec,
-    clean_target: str,
-    features_target: str,
-    since: str | None = None,
+    bronze: DataFrame, spec: TransactionSpec, clean_target: str, features_target: str
 ) -> None:
     """Append only raw events that are not in the typed tables yet.
 
-    Use this where the typed table is read as a stream: nothing stored is rewritten.
-    ``since`` bounds both sides by ingestion time. Every row keeps the ingestion time it
-    came with, so an event from before the bound can be on neither side and the bound
-    changes no result; it lets file statistics skip old data. Class weights are taken
-    over all raw rows, which reads the label column only.
+    Use this where the typed table is read as a stream: nothing stored is rewritten. How far a
+    table is follows from the table itself: ingestion dates of which it has the same events as
+    the raw layer are complete, and only the other dates are cleaned and compared event by
+    event. An event that arrives late, or that a failed run left out, makes its date differ
+    again, so nothing is passed over. Class weights are taken over all raw rows, which reads the
+    label column only.
     """
-    tables = layer_tables(spec)
-    weights = balanced_weights(clean(bronze, spec, F.col(spec.ingested_at)), spec.label)
-    fresh = bronze
-    if since is not None:
-        fresh = bronze.filter(F.col(spec.ingested_at) >= F.lit(since).cast("timestamp"))
-        if "ingestion_date" in bronze.columns:
-            fresh = fresh.filter(F.col("ingestion_date") >= F.to_date(F.lit(since).cast("timestamp")))
-    rows = silver_rows(fresh, spec, weights)
     spark = bronze.sparkSession
-    for name, frame, target in (
-        ("silver.transactions_clean", rows, clean_target),
-        ("silver.transactions_features", feature_rows(rows, spec), features_target),
+    tables = layer_tables(spec)
+    valid = clean(bronze, spec, F.col(spec.ingested_at))
+    weights = balanced_weights(valid, spec.label)
+    wanted = materialize(_progress(valid.dropDuplicates([spec.raw_id]), spec), "progress")
+    for name, shape, target in (
+        ("silver.transactions_clean", lambda rows: rows, clean_target),
+        ("silver.transactions_features", lambda rows: feature_rows(rows, spec), features_target),
     ):
         stored = read_layer(spark, tables[name], target, missing_is_empty=True)
-        if since is not None:
-            stored = stored.filter(F.col(spec.ingested_at) >= F.lit(since).cast("timestamp"))
-        missing = frame.join(stored.select(spec.raw_id), spec.raw_id, "left_anti")
+        same = ["progress_date", "events", "marks"]
+        there = _progress(stored, spec)
+        matched = [wanted[c].eqNullSafe(there[c]) for c in same]
+        late = wanted.join(there, reduce(Column.__and__, matched), "left_anti")
+        late = materialize(late.select("progress_date"), "open-dates")
+
+        def of_late(rows: DataFrame) -> DataFrame:
+            date = F.to_date(rows[spec.ingested_at])
+            return rows.join(late, date.eqNullSafe(late["progress_date"]), "left_semi")
+
+        fresh = shape(silver_rows(of_late(bronze), spec, weights)).dropDuplicates([spec.raw_id])
+        missing = fresh.join(of_late(stored).select(spec.raw_id), spec.raw_id, "left_anti")
         save_layer(missing, tables[name], target=target)

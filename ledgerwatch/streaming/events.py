@@ -25,7 +25,7 @@ def encode_events(
 ) -> DataFrame:
     """key / value messages: one JSON event per row, its fields in name order.
 
-    A blank or missing id becomes the content hash of the values as given, a missing
+    A blank or missing id becomes the content hash of the features as numbers, a missing
     event time becomes ``now`` in ISO form with offset, blank numbers become JSON nulls.
     Text that is no number stops the job. ``carried`` columns are kept beside the message.
     """
@@ -41,7 +41,8 @@ def encode_events(
         is_text = kinds[name] == "string"
         return strict_double(F.col(name), name) if is_text else F.col(name).cast("double")
 
-    derived = content_id([F.col(name) for name in spec.features])
+    # As numbers, like the typed layer does it: "1" and "1.0" are the same transaction.
+    derived = content_id([number(name) for name in spec.features])
     fields = {
         spec.id: F.coalesce(given(spec.id), derived),
         spec.event_time: F.coalesce(given(spec.event_time), written),
