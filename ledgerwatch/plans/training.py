@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from math import ceil
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -50,7 +51,19 @@ from ledgerwatch.sources.catalog import (
 from ledgerwatch.sources.registry import ModelRecord, register
 from ledgerwatch.spec import Candidate, ExperimentSpec, TransactionSpec
 
-PROTOCOL = "chronological split; tuning on validation only; repeated seeded fits"
+
+def protocol_of(experiment: ExperimentSpec) -> str:
+    """How the experiment was run, from its own parameters."""
+    split = experiment.split
+    test = 1 - split.train - split.validation
+    return (
+        f"split by time {split.train:g}/{split.validation:g}/{test:g}; policy {experiment.policy.name}"
+        f" with precision {experiment.policy.min_precision:g}; seeds {', '.join(map(str, experiment.seeds))}"
+    )
+
+
+def fit_partitions(rows: int, experiment: ExperimentSpec) -> int:
+    return max(1, ceil(rows / experiment.fit_rows_per_partition))
 
 
 @dataclass(frozen=True)
@@ -103,8 +116,9 @@ def fit_runs(
     share one stored training layout."""
     train = blocks.block(TRAIN)
     weights = blocks.weights(TRAIN, label=spec.label)
+    partitions = fit_partitions(blocks.row_counts[TRAIN], experiment)
     layout = training_layout(
-        train, weights.legit, weights.positive, spec, experiment.fit_partitions
+        train, weights.legit, weights.positive, spec, partitions
     ).persist(StorageLevel.MEMORY_AND_DISK)
 
     planned = [
@@ -173,8 +187,9 @@ def fit_deployment(
     """Refit the champion on train and validation rows with the first seed."""
     rows = blocks.block(TRAIN).unionByName(blocks.block(VALIDATION))
     weights = blocks.weights(TRAIN, VALIDATION, label=spec.label)
+    known = blocks.row_counts[TRAIN] + blocks.row_counts[VALIDATION]
     layout = training_layout(
-        rows, weights.legit, weights.positive, spec, experiment.fit_partitions
+        rows, weights.legit, weights.positive, spec, fit_partitions(known, experiment)
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = fit_ensemble(
@@ -285,7 +300,7 @@ def run_experiment(
         feature_columns=list(spec.features),
         class_weights={"0": weights.legit, "1": weights.positive},
         experiment_id=experiment_id,
-        protocol=PROTOCOL,
+        protocol=protocol_of(experiment),
         time_cut_points={
             "train_validation": blocks.cuts.validation_from,
             "validation_test": blocks.cuts.test_from,

@@ -59,25 +59,26 @@ class TransactionSpec:
     def bronze_columns(self) -> tuple[str, ...]:
         return (self.id, self.event_time, *self.required, *self._origin)
 
+    @property
+    def _typed(self) -> tuple[str, ...]:
+        """The event as typed columns: identity and time, numbers."""
+        return (self.id, self.event_time, self.timestamp, *self.required)
+
+    @property
+    def _target(self) -> tuple[str, ...]:
+        return (self.label, self.weight)
+
     @property
     def silver_columns(self) -> tuple[str, ...]:
-        return (
-            self.id,
-            self.event_time,
-            self.timestamp,
-            *self.required,
-            self.label,
-            self.weight,
-            *self._origin,
-        )
+        return (*self._typed, *self._target, *self._origin)
 
     @property
     def feature_table_columns(self) -> tuple[str, ...]:
-        split = self.silver_columns.index(self.ingested_at)
-        return (*self.silver_columns[:split], "feature_array", *self.silver_columns[split:])
+        return (*self._typed, *self._target, "feature_array", *self._origin)
 
     @property
     def score_columns(self) -> tuple[str, ...]:
+        # The columns of the score table and of its messages.
         return (
             self.id,
             self.timestamp,
@@ -146,9 +147,10 @@ DEFAULT_CANDIDATES = (
 class ExperimentSpec:
     """Parameters of one candidate x seed comparison.
 
-    ``fit_partitions`` fixes the row layout a fit sees. Tree training depends on that
-    layout, not only on its seed, so the number must stay the same for a repeatable fit;
-    raise it with the data so that one partition fits in an executor.
+    ``fit_rows_per_partition`` fixes the row layout a fit sees: rows are dealt over as many
+    partitions as that takes. Tree training depends on the layout, not only on its seed; the
+    layout depends on the rows alone, so a repeated fit agrees, and partitions stay as small
+    however many rows there are.
 
     ``parallel_fits`` fits run side by side. Late tree levels are small jobs that leave a
     cluster idle; each fit running at once caches its own copy of the binned rows.
@@ -161,7 +163,7 @@ class ExperimentSpec:
     split: SplitFractions = field(default_factory=SplitFractions)
     quantile_error: float = 1e-4
     exact_cuts: bool = False
-    fit_partitions: int = 200
+    fit_rows_per_partition: int = 500_000
     parallel_fits: int = 1
 
     def __post_init__(self) -> None:

@@ -37,7 +37,7 @@ TINY = ExperimentSpec(
         Candidate("smaller", forest_trees=2, forest_depth=2, boosting_rounds=2, boosting_depth=2),
     ),
     seeds=(1, 2),
-    fit_partitions=4,
+    fit_rows_per_partition=500,
     parallel_fits=3,
 )
 
