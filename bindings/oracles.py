@@ -30,7 +30,7 @@ SCORES = (
     TXN
     + f""",
 scored AS (
-  SELECT transaction_id, ts AS event_timestamp, "Amount", "Class" AS label,
+  SELECT transaction_id, {RAW_ID} AS raw_event_id, ts AS event_timestamp, "Amount", "Class" AS label,
          least("Amount", 500.0::DOUBLE) / 500.0::DOUBLE AS a, k / 100.0::DOUBLE AS b,
          (least("Amount", 500.0::DOUBLE) / 500.0::DOUBLE + k / 100.0::DOUBLE) / 2.0::DOUBLE AS fraud_score
   FROM txn),
@@ -39,7 +39,7 @@ scores AS (
          a AS rf_fraud_probability, b AS gbt_fraud_probability, fraud_score,
          CASE WHEN fraud_score >= {THRESHOLD}::DOUBLE THEN 1 ELSE 0 END AS prediction,
          {THRESHOLD}::DOUBLE AS threshold_used, 'stand-in' AS model_version,
-         TIMESTAMP '2024-02-01 06:00:00' AS scored_at, 0 AS scoring_batch_id
+         TIMESTAMP '2024-02-01 06:00:00' AS scored_at, 0 AS scoring_batch_id, raw_event_id
   FROM scored)"""
 )
 
@@ -231,6 +231,13 @@ TABLE_COLUMNS = {
         "o_orderpriority",
     ),
     "pages": ("page_id", "url", "html"),
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "benchmark": ("item_id", "text"),
+    "conversations": ("conv_id", "turn", "role", "text"),
 }
 SCORE_COLUMNS = (
     "transaction_id",
@@ -245,6 +252,7 @@ SCORE_COLUMNS = (
     "model_version",
     "scored_at",
     "scoring_batch_id",
+    "raw_event_id",
 )
 EVENT_FEATURES = ("Time", "user_id", "k", "Amount")
 ORIGIN_COLUMNS = (
@@ -366,6 +374,7 @@ FROM txn, range(4) AS r(p)""",
         "kpi_hourly": f"WITH {SCORES} {kpis('hour', 'scores')}",
         "kpi_daily": f"WITH {SCORES} {kpis('day', 'scores')}",
         "kpi_daily_order_lines": f"WITH {LINES} {kpis('day', 'lines')}",
+        "kpi_repeat_transactions": f"WITH {LINES} {kpis('day', 'lines')}",
         "kpi_listing": f"""WITH {SCORES}, hourly AS ({kpis('hour', 'scores')})
 SELECT metric_window, total_transactions, predicted_frauds, predicted_fraud_rate, suspicious_amount,
   p95_fraud_score FROM hourly ORDER BY metric_window DESC""",
@@ -408,7 +417,12 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality""",
         "keep_first": f"""WITH {LINES}
 SELECT transaction_id, l_orderkey, l_linenumber, label, raw_event_id FROM lines
 QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY raw_event_id) = 1""",
-        "derived_ids": "SELECT o_orderkey, o_orderstatus <> 'F' AS derived FROM orders",
+        "derived_ids": """
+SELECT o_orderkey, o_orderstatus <> 'F' AS derived,
+       CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR)
+            ELSE sha256(concat_ws('|', CAST(CAST(o_custkey AS DOUBLE) AS VARCHAR), '')) END AS transaction_id
+FROM orders""",
+        "id_rules_agree": "SELECT count(*) AS compared, 0::BIGINT AS differing FROM orders",
         "exact_cut_points": f"""WITH {TXN}
 SELECT 0.6::DOUBLE AS share, quantile_disc("Time", 0.6) AS value FROM txn UNION ALL
 SELECT 0.8::DOUBLE, quantile_disc("Time", 0.8) FROM txn""",

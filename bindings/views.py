@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions.identity import content_id
+from ledgerwatch.functions.identity import content_id, raw_event_key
 from ledgerwatch.functions.scores import decide, ensemble
 from ledgerwatch.plans.silver import silver_rows
 from ledgerwatch.session import materialize
@@ -13,6 +13,10 @@ from ledgerwatch.spec import TransactionSpec
 from ledgerwatch.streaming.events import encode_events, parse_messages
 
 EVENTS = TransactionSpec(features=("Time", "user_id", "k", "Amount"))
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages"
+    " benchmark labels conversations"
+).split()
 THRESHOLD = 0.4
 EPOCH_MICROS = 1704067200000000
 TOPIC = "transactions.raw"
@@ -77,16 +81,9 @@ def parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_messages(messages(spark, sf_dir), EVENTS, ingested_at=at)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsed messages as a stored table, as the later layers find them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = materialize(parsed_messages(spark, sf_dir), "bronze")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _STORED[key]
+    return materialize(parsed_messages(spark, sf_dir), "bronze")
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +112,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("stand-in").alias("model_version"),
         F.lit(SCORED_AT).cast("timestamp").alias("scored_at"),
         F.lit(0).alias("scoring_batch_id"),
+        raw_event_key(
+            F.col("transaction_id"), F.col("event_id") % 3, F.floor(F.col("event_id") / 3)
+        ).alias("raw_event_id"),
     )
 
 

@@ -146,7 +146,7 @@ def score_table(
         "scored_at": scored_at.cast("timestamp"),
         "scoring_batch_id": F.lit(int(batch_id)),
     }
-    return scored.withColumns(stamped).select(*spec.score_columns)
+    return scored.withColumns(stamped).select(*spec.score_columns, spec.raw_id)
 
 
 @dataclass(frozen=True)

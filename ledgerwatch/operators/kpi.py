@@ -41,12 +41,12 @@ def kpis(
 
 
 def current_scores(
-    scores: DataFrame, model_version: str | None = None, key: str = "transaction_id"
+    scores: DataFrame, model_version: str | None = None, key: str = "raw_event_id"
 ) -> DataFrame:
-    """One score per transaction: the latest, of one model version if given.
+    """One score per raw event: the latest, of one model version if given.
 
-    The score table holds a row per scoring; without this a transaction scored twice
-    counts twice.
+    The score table holds a row per scoring; without this an event scored twice counts twice.
+    The content id is no key for this: genuine repeat transactions share it.
     """
     if model_version is not None:
         scores = scores.filter(F.col("model_version") == model_version)

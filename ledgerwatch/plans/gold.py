@@ -27,14 +27,14 @@ def build_indicators(
 ) -> None:
     """Recompute hourly and daily indicators; days present in the scores are replaced.
 
-    By default each transaction counts once, with its latest score, and the rows kept are
-    stored so that the shuffle by id runs once for both grains; ``latest_only=False``
-    counts every stored scoring.
+    By default each delivered event counts once, with its latest score: repeat transactions
+    share their content id and still count each. The rows kept are stored so that the shuffle
+    by event runs once for both grains; ``latest_only=False`` counts every stored scoring.
     """
     tables = layer_tables(spec)
     if latest_only:
         measured = scores.select(
-            spec.id,
+            spec.raw_id,
             "scored_at",
             spec.timestamp,
             spec.amount,
@@ -42,8 +42,8 @@ def build_indicators(
             "prediction",
             "model_version",
         )
-        current = current_scores(measured, model_version, spec.id)
-        scores = materialize(current.drop(spec.id, "scored_at", "model_version"), "current-scores")
+        current = current_scores(measured, model_version, spec.raw_id)
+        scores = materialize(current.drop(spec.raw_id, "scored_at", "model_version"), "current-scores")
     elif model_version is not None:
         scores = scores.filter(F.col("model_version") == model_version)
     for grain, name in INDICATOR_TABLES.items():

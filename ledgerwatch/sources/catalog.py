@@ -97,6 +97,8 @@ def score_schema(spec: TransactionSpec) -> T.StructType:
         (TEXT, ("model_version",)),
         (TIME, ("scored_at",)),
         (WHOLE, ("scoring_batch_id",)),
+        # Which delivered event was scored: transactions with equal content share their id.
+        (TEXT, (spec.raw_id,)),
     )
 
 

@@ -11,7 +11,8 @@ from ledgerwatch.sources.catalog import layer_tables, read_layer
 SPEC = TransactionSpec(features=("Time", "Amount"))
 SCORES = (
     "transaction_id string, event_timestamp timestamp, Amount double, label double,"
-    " fraud_score double, prediction int, model_version string, scored_at timestamp"
+    " fraud_score double, prediction int, model_version string, scored_at timestamp,"
+    " raw_event_id string"
 )
 
 
@@ -21,10 +22,10 @@ def scores(spark):
         return datetime(2024, 1, 1, hour, minute)
 
     rows = [
-        ("a", at(1), 10.0, 0.0, 0.1, 0, "m1", at(5)),
-        ("b", at(1, 30), 20.0, 1.0, 0.9, 1, "m1", at(5)),
-        ("c", at(2), None, 1.0, 0.8, 1, "m1", at(5)),
-        ("d", at(3), 40.0, 0.0, None, None, "m1", at(5)),
+        ("a", at(1), 10.0, 0.0, 0.1, 0, "m1", at(5), "e1"),
+        ("b", at(1, 30), 20.0, 1.0, 0.9, 1, "m1", at(5), "e2"),
+        ("c", at(2), None, 1.0, 0.8, 1, "m1", at(5), "e3"),
+        ("d", at(3), 40.0, 0.0, None, None, "m1", at(5), "e4"),
     ]
     return spark.createDataFrame(rows, SCORES)
 
@@ -88,6 +89,15 @@ def test_indicators_by_scoring_or_by_transaction(scores, spark, folder):
     assert totals == [4, 8]
 
 
+def test_repeat_transactions_count_each(scores, spark, folder):
+    """Two delivered events with one content id are two transactions."""
+    again = scores.withColumn("raw_event_id", F.concat(F.lit("again-"), "raw_event_id"))
+    targets = {name: folder(grain) for grain, name in gold.INDICATOR_TABLES.items()}
+    gold.build_indicators(scores.unionByName(again), SPEC, targets)
+    daily = gold.indicators(spark, SPEC, "day", targets["gold.fraud_kpis_daily"])
+    assert daily.agg(F.sum("total_transactions")).first()[0] == 8
+
+
 def test_exports(scores, spark, folder):
     paths = gold.export_gold(scores, kpi.kpis(scores, "hour"), kpi.kpis(scores, "day"), folder())
     hourly = spark.read.option("header", True).csv(paths["fraud_kpis_hourly"])
@@ -126,7 +136,7 @@ def test_quality_report_rows(spark):
 
 def test_quality_of_an_empty_table(scores):
     got = quality.null_counts(scores.limit(0)).collect()
-    assert {r["metric_value"] for r in got} == {0.0} and len(got) == 9
+    assert {r["metric_value"] for r in got} == {0.0} and len(got) == 10
 
 
 def test_published_report_size(spark):
@@ -136,7 +146,9 @@ def test_published_report_size(spark):
     for name, table in layer_tables(card).items():
         if name.startswith(("bronze", "silver")) or name == "gold.fraud_scores":
             columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema]
-            rows = spark.range(2).select("id", *columns)
+            # The published score table does not have the event key.
+            own = [c for c, f in zip(columns, table.schema) if name != "gold.fraud_scores" or f.name != card.raw_id]
+            rows = spark.range(2).select("id", *own)
             if "Class" in table.schema.fieldNames():
                 rows = rows.withColumn("Class", F.col("id").cast("double"))
             tables[name] = rows.drop("id")
@@ -149,7 +161,7 @@ def test_report_appends(scores, spark, folder):
     for day in ("2024-01-01", "2024-01-02"):
         gold.write_quality({"gold.fraud_scores": scores}, SPEC, day, target=target)
     stored = read_layer(spark, layer_tables(SPEC)["gold.data_quality_metrics"], target)
-    assert stored.count() == 2 * (1 + 8 + 1)
+    assert stored.count() == 2 * (1 + 9 + 1)
     listed = listings.quality_listing(stored)
     assert listed.first()["created_at"] == "2024-01-02"
 
