@@ -510,6 +510,10 @@ SELECT transaction_id, event_time, "Time", user_id, k, "Amount", "Class",
 SELECT transaction_id, event_time, "Time", user_id, k, "Amount", "Class", 'transactions.raw' AS kafka_topic,
   part AS kafka_partition, off AS kafka_offset, 'events.parquet' AS source_file, {RAW_ID} AS raw_event_id
 FROM txn""",
+        "stream_rejects": f"""WITH {TXN}
+SELECT 'transactions.raw' AS kafka_topic, part AS kafka_partition, off AS kafka_offset,
+  substr('{{"Amount":' || CAST("Amount" AS VARCHAR) || ',"Class":', 1, 20) AS value
+FROM txn WHERE off % 5 = 0""",
         "experiment_row_balance": f"""WITH {TXN}, {EXPERIMENT_BLOCKS}
 SELECT split_name, runs, CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS outside,
   train_rows, validation_rows, test_rows

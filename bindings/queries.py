@@ -47,7 +47,7 @@ from ledgerwatch.spec import (
     ThresholdPolicy,
     TransactionSpec,
 )
-from ledgerwatch.streaming.events import encode_events, parse_messages, start_bronze, unparsed
+from ledgerwatch.streaming.events import encode_events, parse_messages, start_bronze, start_rejects, unparsed
 from ledgerwatch.streaming.replay import replay_batches, replay_stream, write_replay
 from ledgerwatch.streaming.scoring import ScoreSinks, TopicSink, score_batch, start_scoring
 
@@ -729,6 +729,20 @@ def stream_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.drop("ingestion_timestamp", "ingestion_date")
 
 
+@query
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which some are cut off: the text of those, read back from their table."""
+    base = scratch_path(spark, "stream-rejects")
+    sent = views.messages(spark, sf_dir)
+    broken = F.expr("substring(value, 1, 20)")
+    cut = sent.withColumn("value", F.when(F.col("offset") % 5 == 0, broken).otherwise(F.col("value")))
+    cut.write.parquet(f"{base}/topic")
+    stream = read_stream(spark, "parquet", {}, TOPIC_SCHEMA, f"{base}/topic")
+    start_rejects(stream, EVENTS, f"{base}/rejects", f"{base}/checkpoint", ONCE).awaitTermination()
+    kept = spark.read.parquet(f"{base}/rejects")
+    return kept.select("kafka_topic", "kafka_partition", "kafka_offset", "value")
+
+
 # --- models -----------------------------------------------------------------------------
 
 SMALL_EXPERIMENT = ExperimentSpec(

@@ -105,3 +105,25 @@ def start_bronze(
     table = layer_tables(spec)["bronze.transactions_raw"]
     rows = table.laid_out(parse_messages(messages, spec))
     return start_append(rows, target, checkpoint, table.partition_by, trigger, sink_format)
+
+
+def start_rejects(
+    messages: DataFrame,
+    spec: TransactionSpec,
+    target: str,
+    checkpoint: str,
+    trigger: dict[str, object] | None = None,
+    sink_format: str = "parquet",
+) -> StreamingQuery:
+    """Append the text and origin of messages that did not parse, beside the raw table.
+
+    A stream of its own with its own checkpoint: it can be started later, or again from the
+    beginning, without touching the raw rows. ``raw_event_id`` names the row that
+    ``start_bronze`` stores for the same message.
+    """
+    parsed = parse_messages(messages, spec, keep_unparsed=True)
+    broken = parsed.filter(F.col(REJECT_COLUMN).isNotNull())
+    rows = broken.select(
+        spec.raw_id, *PROVENANCE_COLUMNS, spec.ingested_at, F.col(REJECT_COLUMN).alias("value")
+    )
+    return start_append(rows, target, checkpoint, (), trigger, sink_format)

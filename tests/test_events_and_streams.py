@@ -153,6 +153,20 @@ def test_stream_restart_adds_only_what_is_new(spark, folder):
     assert stored.filter("ingestion_date is null").count() == 0
 
 
+def test_rejected_text_is_kept_beside_the_raw_rows(spark, folder):
+    source, raw, rejects = folder("topic"), folder("raw"), folder("rejects")
+    messages(spark, [EVENT, "junk", "[1"]).write.parquet(source)
+    run_bronze(spark, source, raw, folder("checkpoint"))
+    checkpoint = folder("checkpoint")
+    for _ in range(2):
+        stream = readers.read_stream(spark, "parquet", {}, readers.TOPIC_SCHEMA, source)
+        events.start_rejects(stream, SPEC, rejects, checkpoint, ONCE).awaitTermination()
+    kept = spark.read.parquet(rejects)
+    assert sorted(r["value"] for r in kept.collect()) == ["[1", "junk"]
+    stored = read_layer(spark, layer_tables(SPEC)["bronze.transactions_raw"], raw)
+    assert stored.join(kept, "raw_event_id", "left_semi").count() == 2
+
+
 def test_streaming_into_a_catalog_table(spark, folder):
     table = layer_tables(SPEC)["bronze.transactions_raw"]
     spark.sql("CREATE NAMESPACE IF NOT EXISTS streamed")
