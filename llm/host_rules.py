@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from llm.rows import on_workers, spans, stored
+from llm.rows import on_workers, spans, stored, unwrapped, wrapped
 from llm.text import texts_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -104,9 +105,9 @@ PREFIX = "_rules_"
 def with_measures(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` and the measures of the text, named ``_rules_<measure>``; a null text has none."""
     on_workers(docs.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text_col]
-    schema = ", ".join([*fields, *(f"{PREFIX}{m} long" for m in MEASURES)])
-    return docs.mapInArrow(_measured(text_col, keep_text), schema)
+    fields = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    fields += [T.StructField(PREFIX + m, T.LongType()) for m in MEASURES]
+    return docs.mapInArrow(_measured(text_col, keep_text), T.StructType(fields))
 
 
 def hard_failure() -> Column:
@@ -174,5 +175,6 @@ def keep(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", sourc
     """
     narrow = docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     hosts = host_verdicts(stored(with_measures(narrow, keep_text=False), "measures"), "source", host_limit)
-    decided = _decided(with_measures(docs, text_col), hosts, source_col)
-    return decided.where("_rules_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = wrapped(docs, text_col).withColumn("source", F.col(f"doc.`{source_col}`"))
+    decided = _decided(with_measures(own), hosts, "source")
+    return unwrapped(decided.where("_rules_kept"), docs, text_col)

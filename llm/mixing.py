@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.rows import parts_of, stored
+from llm.rows import parts_of, stored, unwrapped, wrapped
 from llm.text import WORD
 
 HASH_BITS = 60
@@ -170,9 +170,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed documents, with the columns of ``docs``: each row as often as the mix takes it."""
     names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
     _, limits = plan_mix(docs, **names, **options)
-    limits = limits.select(F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"), "upto")
-    own = docs.withColumn("_mix_hash", row_hash(id_col, text_col))
-    joined = own.join(limits.withColumnRenamed("upto", "_mix_upto"), F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    copies = (F.col("_mix_copies") + F.when(F.col("_mix_hash") <= F.col("_mix_upto"), 1).otherwise(0)).cast("int")
-    repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    limits = limits.select(F.col("source").alias("name"), F.col("copies").alias("whole"), "upto")
+    key, source = row_hash(f"doc.`{id_col}`", "text"), F.col(f"doc.`{source_col}`")
+    joined = wrapped(docs, text_col).withColumn("h", key).join(limits, source.eqNullSafe(F.col("name")))
+    copies = (F.col("whole") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)).cast("int")
+    return unwrapped(joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))), docs, text_col)

@@ -32,9 +32,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwatch.session import scratch_path
-from llm.rows import ROW, on_workers, parts_of, pieces_for, runs, smaller, spans, stored
+from llm.rows import ROW, on_workers, parts_of, pieces_for, runs, smaller, spans, stored, wrapped
 from llm.text import texts_of
 
 WINDOW = 35
@@ -139,13 +140,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _window_hashes(phrases: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every window of every phrase, and windows per phrase."""
+def _window_hashes(phrases: list[list[bytes]], bases: tuple = BASES) -> tuple[np.ndarray, ...]:
+    """A hash by each base of every window of every phrase, and windows per phrase."""
     counts = np.fromiter(map(len, phrases), np.int64, len(phrases))
     words = [w for p in phrases for w in p]
     many = counts - WINDOW + 1
     at = spans(np.cumsum(counts) - counts, many)
-    return *(Hashes(words, base).of(at, at + WINDOW).view(np.int64) for base in BASES), many
+    return *(Hashes(words, base).of(at, at + WINDOW).view(np.int64) for base in bases), many
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,11 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """Finds windows in phrases; a word that no pattern has is a letter that no pattern has."""
+    """Finds windows in phrases; a word that no pattern has is a letter that no pattern has.
+
+    A state keeps its letters in a list, so an automaton should know few first words: shards
+    are small.
+    """
 
     def __init__(self):
         import ahocorasick
@@ -201,8 +206,8 @@ class Automaton:
         """Where windows start that the automaton holds."""
         if not len(self.found):
             return []
-        letters = self.letters
-        spelled = "".join([letters.get(w, "\0") for w in phrase.split(b" ")])
+        known = self.letters.get
+        spelled = "".join([known(w, "\0") for w in phrase.split(b" ")])
         return [last - WINDOW + 1 for last, _ in self.found.iter(spelled)]
 
 
@@ -237,32 +242,25 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["segment", "first", "last"])
 
 
-def _cut(text_col: str):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, cuts in zip(texts_of(batch.column(text_col)), batch.column(CUTS).to_pylist()):
-                words = text.split()
-                left, at = [], 0
-                for cut in sorted((c["first"], c["last"]) for c in cuts or ()):
-                    left += words[at : cut[0]]
-                    at = max(at, cut[1])
-                left += words[at:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left))
-            names = [n for n in batch.schema.names if n not in (CUTS, ROW)]
-            columns = [batch.column(n) for n in names]
-            columns += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, N_WORDS, N_REMOVED, KEPT])
-
-    return of
-
-
-CUTS, N_WORDS, N_REMOVED, KEPT = "_cut_places", "_cut_n_words", "_cut_n_removed", "_cut_kept"
-
-
-def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, n_removed, kept = [], [], []
+        for text, cuts in zip(texts_of(batch.column("text")), batch.column("cuts").to_pylist()):
+            words = text.split()
+            left, at = [], 0
+            for cut in sorted((c["first"], c["last"]) for c in cuts or ()):
+                left += words[at : cut[0]]
+                at = max(at, cut[1])
+            left += words[at:]
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            kept.append(b" ".join(left))
+        columns = [batch.column("doc"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+        columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "text", "n_words", "n_removed", "kept"])
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
     """The rows, numbered and stored in buckets by number, so that later joins on it leave the
     texts where they are."""
     spark = docs.sparkSession
@@ -274,23 +272,23 @@ def bucketed(docs: DataFrame, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def _by_row(table: DataFrame, text_col: str, rows: DataFrame) -> DataFrame:
+def _by_row(table: DataFrame, rows: DataFrame) -> DataFrame:
     """Texts of the numbered rows with their ``parts``."""
-    texts = table.select(ROW, F.col(text_col).alias("text"))
+    texts = table.select(ROW, "text")
     return texts.join(rows, texts[ROW] == rows["row"]).select("text", "parts")
 
 
-def repeated_stretches(table: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated_stretches(table: DataFrame) -> DataFrame:
     """(row, cuts) of the numbered rows that hold repeated windows: stretches of word places."""
     spark = table.sparkSession
-    found = stored(table.select(ROW, F.col(text_col).alias("text")).mapInArrow(_runs, RUN), "runs")
+    found = stored(table.select(ROW, "text").mapInArrow(_runs, RUN), "runs")
     twice = found.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
     candidates = stored(found.drop("weight").join(stored(twice, "anchors"), "anchor", "left_semi"), "candidate-runs")
     place = F.min(F.struct("row", "start", "windows")).alias("place")
     distinct = candidates.groupBy("anchor", "segment").agg(F.count("*").alias("n"), place)
     part = F.struct("anchor", "segment", "n", F.col("place.start").alias("start"), F.col("place.windows").alias("windows"))
     wanted = distinct.groupBy(F.col("place.row").alias("row")).agg(F.collect_list(part).alias("parts"))
-    segments = stored(_by_row(table, text_col, wanted).mapInArrow(_segments, SEGMENT), "segments")
+    segments = stored(_by_row(table, wanted).mapInArrow(_segments, SEGMENT), "segments")
 
     windows = segments.select("segment", "n", "phrase").mapInArrow(_windows, "one long, two long, segment long, n long")
     recurring = windows.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("segment").alias("segment")).where("n > 1")
@@ -319,18 +317,18 @@ def repeated_stretches(table: DataFrame, text_col: str = "text") -> DataFrame:
 
     stretch = F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     back = candidates.select("segment", "row", "start").join(matches, "segment")
-    return back.groupBy("row").agg(F.collect_set(stretch).alias(CUTS))
+    return back.groupBy("row").agg(F.collect_set(stretch).alias("cuts"))
 
 
 def _removed(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` and, under ``_cut_`` names, n_words, n_removed and the words that are kept."""
+    """``doc`` and ``text`` of all rows, with n_words, n_removed and the words that are kept."""
     on_workers(docs.sparkSession)
-    table = bucketed(docs, text_col)
-    cuts = repeated_stretches(table, text_col)
-    joined = table.join(cuts, table[ROW] == cuts["row"], "left").drop("row")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    schema = ", ".join([*fields, f"{N_WORDS} long", f"{N_REMOVED} long", f"{KEPT} string"])
-    return joined.mapInArrow(_cut(text_col), schema)
+    table = bucketed(wrapped(docs, text_col))
+    cuts = repeated_stretches(table)
+    joined = table.join(cuts, table[ROW] == cuts["row"], "left").select("doc", "text", "cuts")
+    added = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = T.StructType([*joined.select("doc", "text").schema.fields, *added.fields])
+    return joined.mapInArrow(_cut, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,20 +340,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cut = _removed(own, "text")
-    return cut.select("doc_id", F.col(N_WORDS).alias("n_words"), F.col(N_REMOVED).alias("n_removed"), F.col(KEPT).alias("kept"))
+    return cut.select("doc.doc_id", "n_words", "n_removed", "kept")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with repeated passages cut out of the text. A text that loses nothing stays as it
     is; of the others the kept words are joined by a space and ``length_col`` counts anew."""
     cut = _removed(docs, text_col)
-    changed = F.col(N_REMOVED) > 0
+    changed = F.col("n_removed") > 0
     columns = []
     for name in docs.columns:
-        column = F.col(f"`{name}`")
+        column = F.col(f"doc.`{name}`") if name != text_col else F.col("text")
         if name == text_col:
-            column = F.when(changed, F.col(KEPT)).otherwise(column)
+            column = F.when(changed, F.col("kept")).otherwise(column)
         elif name == length_col:
-            column = F.when(changed, F.length(KEPT)).otherwise(column).cast(docs.schema[name].dataType)
+            column = F.when(changed, F.length("kept")).otherwise(column).cast(docs.schema[name].dataType)
         columns.append(column.alias(name))
     return cut.select(*columns)

@@ -43,6 +43,19 @@ def numbered(df: DataFrame, label: str, row: str = ROW) -> DataFrame:
     return stored(df.withColumn(row, F.monotonically_increasing_id()), label)
 
 
+def wrapped(docs: DataFrame, text_col: str) -> DataFrame:
+    """``text``, and all other columns as the struct ``doc``: whatever their names are, they do
+    not meet those that an operator adds beside."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    names = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns]
+    return df.select(*names)
+
+
 def crc_rest(column: str, divisor: int) -> Column:
     """crc32 of an id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

@@ -35,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.components import components
-from llm.rows import ROW, numbered, on_workers, parts_of, spans, stored
+from llm.rows import ROW, numbered, on_workers, parts_of, spans, stored, unwrapped, wrapped
 from llm.text import shingles, texts_of
 
 BITS = 64
@@ -81,8 +82,8 @@ def _fingerprints(text_col: str, width: int, seed: int):
 def with_fingerprints(rows: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """``rows`` without the text and with ``fp``, the fingerprint as a signed 64-bit number."""
     on_workers(rows.sparkSession)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col]
-    return rows.mapInArrow(_fingerprints(text_col, width, seed), ", ".join([*fields, "fp long"]))
+    fields = [f for f in rows.schema.fields if f.name != text_col] + [T.StructField("fp", T.LongType())]
+    return rows.mapInArrow(_fingerprints(text_col, width, seed), T.StructType(fields))
 
 
 def upper_masks(count: int, distance: int) -> list[int]:
@@ -292,10 +293,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
     """One document of each group, with the columns of ``docs``: that of the smallest id, null
     ids last, and of rows that repeat it the first stored."""
-    own = numbered(docs, "numbered-documents")
-    slim = own.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = numbered(wrapped(docs, text_col), "numbered-documents")
+    slim = own.select(F.col(ROW).alias("row"), F.col(f"doc.`{id_col}`").alias("id"), "text")
     rows = stored(with_fingerprints(slim), "document-fingerprints")
     groups = near_groups(rows, "id", distance)
     met = rows.join(groups, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = stored(met.groupBy("group").agg(F.min("row").alias(ROW)).select(ROW), "kept-rows")
-    return own.join(chosen, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unwrapped(own.join(chosen, ROW, "left_semi"), docs, text_col)
