@@ -163,11 +163,12 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each phrase, where the confirmed windows (``ones``: their first hashes) start."""
     for batch in smaller(batches, 2):
         phrases = [p.split(b" ") for p in batch.column(2).to_pylist()]
-        one, _, many = _window_hashes(phrases)
-        ends = np.cumsum(many)
+        one, many = _window_hashes(phrases, BASES[:1])
+        ends, one = np.cumsum(many).tolist(), one.tolist()
         starts = []
-        for a, b, wanted in zip((ends - many).tolist(), ends.tolist(), batch.column(3).to_pylist()):
-            starts.append(np.flatnonzero(np.isin(one[a:b], wanted)).astype(np.int32).tolist())
+        for n, b, ones in zip(many.tolist(), ends, batch.column(3).to_pylist()):
+            wanted = set(ones)
+            starts.append([k for k, h in enumerate(one[b - n : b]) if h in wanted])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(starts, pa.list_(pa.int32()))],
             ["anchor", "segment", "phrase", "starts"],
