@@ -41,8 +41,8 @@ from llm.text import texts_of
 WINDOW = 35
 GRAM = 10
 REACH = WINDOW - GRAM + 1  # grams in a window; also the most windows that a run may have
-PATTERNS = 20_000  # windows of a shard
-SEGMENTS = 20_000  # segments that one task streams through a shard's automaton
+PATTERNS = 1_000  # windows of a shard
+SEGMENTS = 5_000  # segments that one task streams through a shard's automaton
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
