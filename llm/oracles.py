@@ -95,4 +95,18 @@ SELECT page_id, host, path, rule,
             WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft
 FROM n"""
 
-ORACLES = {"op6_host_rules": RULES, "op7_mix_sources": MIX, "op9_url_filter": URLS}
+REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS.format('text')} AS words FROM documents),
+p AS (SELECT row, unnest(range(1, len(words) - 33)) AS pos FROM d WHERE len(words) >= 35),
+w AS (SELECT p.row, p.pos, array_to_string(list_slice(d.words, p.pos, p.pos + 34), ' ') AS own FROM p JOIN d USING (row)),
+twice AS (SELECT own FROM w GROUP BY own HAVING count(*) > 1),
+gone AS (SELECT DISTINCT row, unnest(range(pos, pos + 35)) AS pos FROM w SEMI JOIN twice USING (own)),
+every AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY pos) AS words FROM every ANTI JOIN gone USING (row, pos) GROUP BY row),
+removed AS (SELECT row, count(*) AS n FROM gone GROUP BY row)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row) LEFT JOIN removed USING (row)"""
+
+ORACLES = {"op10_repeated_phrases": REPEATS, "op6_host_rules": RULES, "op7_mix_sources": MIX, "op9_url_filter": URLS}
