@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.rows import on_workers, spans, stored, unwrapped, wrapped
+from llm.rows import on_workers, smaller, spans, stored, unwrapped, wrapped
 from llm.text import texts_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -90,7 +90,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def _measured(text_col: str, keep_text: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches, text_col):
             found = measure(texts_of(batch.column(text_col)))
             names = [n for n in batch.schema.names if keep_text or n != text_col]
             columns = [batch.column(n) for n in names] + [pa.array(x) for x in found.values()]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.host_rules import FOLLOWING, SYMBOLS, repeat_words
-from llm.rows import crc_rest, on_workers, stored
+from llm.rows import crc_rest, on_workers, smaller, stored
 from llm.text import texts_of
 
 SHARES = (
@@ -79,7 +79,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in smaller(batches, "text"):
         x = features(texts_of(batch.column("text")))
         lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), lists], ["doc_id", "held_out", "x"])

@@ -244,7 +244,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in smaller(batches, "text"):
         n_words, n_removed, kept = [], [], []
         for text, cuts in zip(texts_of(batch.column("text")), batch.column("cuts").to_pylist()):
             words = text.split()

@@ -112,7 +112,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
 
 
-def smaller(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def smaller(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a text column has about ``most`` bytes in each, or one row."""
     for batch in batches:
         bounds = offsets_of(batch.column(column))

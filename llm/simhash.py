@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.components import components
-from llm.rows import ROW, numbered, on_workers, parts_of, spans, stored, unwrapped, wrapped
+from llm.rows import ROW, numbered, on_workers, parts_of, smaller, spans, stored, unwrapped, wrapped
 from llm.text import shingles, texts_of
 
 BITS = 64
@@ -70,7 +70,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 def _fingerprints(text_col: str, width: int, seed: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in smaller(batches, text_col):
             found = np.array([fingerprint(t, width, seed) for t in texts_of(batch.column(text_col))], dtype=np.uint64)
             names = [n for n in batch.schema.names if n != text_col]
             columns = [batch.column(n) for n in names] + [pa.array(found.view(np.int64))]

@@ -18,7 +18,7 @@ import regex
 
 from llm.rows import spans
 
-KNOWN_PIECES = 1_000_000  # about 200 bytes each
+KNOWN_PIECES = 500_000  # about 200 bytes each, and as much again while a worker grows
 # Fixed value: how byte-level tokenizers of this family cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
