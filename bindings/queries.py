@@ -755,20 +755,14 @@ SMALL_EXPERIMENT = ExperimentSpec(
     fit_rows_per_partition=2_000,
     parallel_fits=4,
 )
-_EXPERIMENTS: dict[tuple[str, str], tuple[ExperimentResult, str]] = {}
 
 
 def _experiment(spark: SparkSession, sf_dir: str) -> tuple[ExperimentResult, str]:
-    """One small experiment per session and data set, shared by the model queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _EXPERIMENTS:
-        base = scratch_path(spark, "models")
-        registry = f"{base}/registry"
-        result = run_experiment(
-            views.silver(spark, sf_dir), EVENTS, SMALL_EXPERIMENT, base, registry
-        )
-        _EXPERIMENTS[key] = (result, registry)
-    return _EXPERIMENTS[key]
+    """One small experiment over the tables as they are now, and its registry."""
+    base = scratch_path(spark, "models")
+    registry = f"{base}/registry"
+    result = run_experiment(views.silver(spark, sf_dir), EVENTS, SMALL_EXPERIMENT, base, registry)
+    return result, registry
 
 
 def _deployed(spark: SparkSession, sf_dir: str) -> DeployedModel:
