@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerwatch.session import scratch_path
-from llm import graph_search, host_rules, interpolation, mixing, pu_quality, repeats, simhash, urls
+from llm import graph_search, host_rules, interpolation, mixing, periodic_runs, pu_quality, repeats, sign_hashing, simhash, urls, whitening
 from llm.oracles import ORACLES
 from llm.packing import pack
 from llm.simple8b import read_digests, write_ids
+from llm.text import with_periodic_tail
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -78,6 +79,19 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16)
+
+
+def op12_sign_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_hashing.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.run_digest(periodic_runs.collapse_runs(docs, least=12, prepare=with_periodic_tail))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_graph_search": op2_graph_search,
@@ -89,5 +103,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_repeated_phrases": op10_repeated_phrases,
+    "op11_whitening": op11_whitening,
+    "op12_sign_hashing": op12_sign_hashing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }

@@ -6,6 +6,8 @@ characters and change A-Z alone.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -32,3 +34,17 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     ends = word_ends(words)
     starts = np.concatenate([[0], ends[:-1] + 1])
     return [joined[a:b] for a, b in zip(starts[: -width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def with_periodic_tail(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words, or for one id in ten with a tail that repeats some of them 3 to 10 times.
+
+    With h the crc32 of the id as text (a null id: the empty text), g = h // 10 and h % 10 = 0,
+    word i from a = g % n on becomes word a + (i - a) % p, where p = 1 + (n - a) // (3 + g % 8).
+    """
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
