@@ -13,6 +13,8 @@ from ledgerwatch.spec import TransactionSpec
 from ledgerwatch.streaming.events import encode_events, parse_messages
 
 EVENTS = TransactionSpec(features=("Time", "user_id", "k", "Amount"))
+# Features of few values, over which a tree can try every split.
+COARSE = TransactionSpec(features=("hour", "weekday", "k", "band"), amount="band")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
     " benchmark labels conversations"
@@ -155,3 +157,21 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         "l_quantity",
     )
+
+
+def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled transactions with features of few values each."""
+    rows = transactions(spark, sf_dir)
+    return rows.select(
+        "event_id",
+        "transaction_id",
+        raw_event_key(
+            F.col("transaction_id"), F.col("event_id") % 3, F.floor(F.col("event_id") / 3)
+        ).alias("raw_event_id"),
+        F.col("Class").alias("label"),
+        "Time",
+        F.hour("ts").cast("double").alias("hour"),
+        (F.dayofweek("ts") - 1).cast("double").alias("weekday"),
+        "k",
+        F.floor(F.col("Amount") / 25.0).cast("double").alias("band"),
+    )

@@ -85,12 +85,16 @@ def training_layout(
 
 
 def fit_ensemble(
-    training: DataFrame, candidate: Candidate, seed: int, spec: TransactionSpec
+    training: DataFrame, candidate: Candidate, seed: int, spec: TransactionSpec, bins: int = 0
 ) -> Ensemble:
     """Fit both models on weighted rows.
 
     Each model is asked for its probabilities only: without the other output columns
     scoring runs one model evaluation per row instead of three.
+
+    With ``bins`` (see :func:`~ledgerwatch.operators.trees.exact_bins`) nothing is drawn: every
+    tree sees all rows and all features and tries every midpoint, so that the same rows give
+    the same trees in any layout and with any seed.
     """
     columns = {
         "labelCol": spec.label,
@@ -98,8 +102,12 @@ def fit_ensemble(
         "weightCol": spec.weight,
         "seed": int(seed),
     }
+    whole = {}
+    if bins:
+        columns |= {"maxBins": int(bins), "featureSubsetStrategy": "all"}
+        whole = {"bootstrap": False}
     forest = RandomForestClassifier(
-        numTrees=candidate.forest_trees, maxDepth=candidate.forest_depth, **columns
+        numTrees=candidate.forest_trees, maxDepth=candidate.forest_depth, **columns, **whole
     )
     boosted = GBTClassifier(
         maxIter=candidate.boosting_rounds, maxDepth=candidate.boosting_depth, **columns

@@ -41,6 +41,7 @@ from ledgerwatch.operators.split import (
     with_block,
 )
 from ledgerwatch.operators.summary import long_metrics, run_summary
+from ledgerwatch.operators.trees import exact_bins
 from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import (
     EXPERIMENT_METRICS_SCHEMA,
@@ -116,6 +117,7 @@ def fit_runs(
     share one stored training layout."""
     train = blocks.block(TRAIN)
     weights = blocks.weights(TRAIN, label=spec.label)
+    bins = exact_bins(train, spec.features) if experiment.exact_trees else 0
     partitions = fit_partitions(blocks.row_counts[TRAIN], experiment)
     layout = training_layout(
         train, weights.legit, weights.positive, spec, partitions
@@ -129,7 +131,7 @@ def fit_runs(
 
     def fit(plan: tuple[int, Candidate, int, int]) -> FittedRun:
         position, candidate, run_id, seed = plan
-        fitted = fit_ensemble(layout, candidate, seed, spec)
+        fitted = fit_ensemble(layout, candidate, seed, spec, bins)
         fitted.save(f"{model_base}/{candidate.id}/seed-{seed}")
         return FittedRun(candidate.id, position, run_id, seed, fitted)
 
@@ -187,13 +189,14 @@ def fit_deployment(
     """Refit the champion on train and validation rows with the first seed."""
     rows = blocks.block(TRAIN).unionByName(blocks.block(VALIDATION))
     weights = blocks.weights(TRAIN, VALIDATION, label=spec.label)
+    bins = exact_bins(rows, spec.features) if experiment.exact_trees else 0
     known = blocks.row_counts[TRAIN] + blocks.row_counts[VALIDATION]
     layout = training_layout(
         rows, weights.legit, weights.positive, spec, fit_partitions(known, experiment)
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = fit_ensemble(
-            layout, experiment.candidate(champion_id), experiment.seeds[0], spec
+            layout, experiment.candidate(champion_id), experiment.seeds[0], spec, bins
         )
     finally:
         layout.unpersist()

@@ -152,6 +152,9 @@ class ExperimentSpec:
     layout depends on the rows alone, so a repeated fit agrees, and partitions stay as small
     however many rows there are.
 
+    ``exact_trees`` fits every tree to all rows, all features and every midpoint between values,
+    for features of few values and models that must not depend on a seed or a layout.
+
     ``parallel_fits`` fits run side by side. Late tree levels are small jobs that leave a
     cluster idle; each fit running at once caches its own copy of the binned rows.
     """
@@ -165,6 +168,7 @@ class ExperimentSpec:
     exact_cuts: bool = False
     fit_rows_per_partition: int = 500_000
     parallel_fits: int = 1
+    exact_trees: bool = False
 
     def __post_init__(self) -> None:
         for name in ("candidates", "seeds", "thresholds"):
