@@ -25,17 +25,30 @@ def kpis(
     combines on the map side, so an hour with a third of all rows costs its tasks one
     buffer each. ``accuracy`` is the sketch's: its rank error is 1 / accuracy.
     """
+    period = F.date_trunc(grain, F.col(timestamp)).alias(time_column(grain))
+    return with_rate(scores.groupBy(period).agg(*measures(amount, accuracy)))
+
+
+def time_column(grain: str) -> str:
     if grain not in GRAINS:
         raise ValueError(f"Unknown grain {grain!r}; use one of {', '.join(GRAINS)}.")
+    return GRAINS[grain]
+
+
+def measures(amount: str, accuracy: int = 10_000) -> list[Column]:
+    """What is measured of each period's scores, in a table or in a stream."""
     alerted = F.col("prediction") == 1
     suspicious = F.sum(F.when(alerted, F.col(amount)).otherwise(F.lit(0.0)))
-    measured = scores.groupBy(F.date_trunc(grain, F.col(timestamp)).alias(GRAINS[grain])).agg(
+    return [
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum("prediction").alias("predicted_frauds"),
         suspicious.alias("suspicious_amount"),
         F.avg("fraud_score").alias("avg_fraud_score"),
         F.percentile_approx("fraud_score", 0.95, accuracy).alias("p95_fraud_score"),
-    )
+    ]
+
+
+def with_rate(measured: DataFrame) -> DataFrame:
     rate = share(F.col("predicted_frauds"), F.col("total_transactions"))
     return measured.withColumn("predicted_fraud_rate", rate)
 

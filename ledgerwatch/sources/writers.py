@@ -78,6 +78,7 @@ def start_append(
     partition_by: Sequence[str] = (),
     trigger: Mapping[str, object] | None = None,
     sink_format: str = "parquet",
+    name: str | None = None,
 ) -> StreamingQuery:
     """Append a stream to a folder or catalog table, exactly once per checkpoint.
 
@@ -93,4 +94,6 @@ def start_append(
         writer = writer.partitionBy(*partition_by)
     if trigger:
         writer = writer.trigger(**trigger)
+    if name:
+        writer = writer.queryName(name)
     return writer.start(target) if "/" in target else writer.toTable(target)

@@ -1 +1 @@
-"""Structured Streaming: events in, scores out. All operators are stateless."""
+"""Structured Streaming: events in, scores and indicators out. State is bounded by watermarks."""

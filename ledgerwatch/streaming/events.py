@@ -12,6 +12,8 @@ from ledgerwatch.functions.lenient import blank_to_null, strict_double
 from ledgerwatch.sources.catalog import layer_tables
 from ledgerwatch.sources.writers import start_append
 from ledgerwatch.spec import PROVENANCE_COLUMNS, TransactionSpec
+from ledgerwatch.streaming.progress import observed
+from ledgerwatch.streaming.stateful import first_deliveries
 
 REJECT_COLUMN = "_unparsed"
 
@@ -100,11 +102,26 @@ def start_bronze(
     checkpoint: str,
     trigger: dict[str, object] | None = None,
     sink_format: str = "parquet",
+    once_within: str | None = None,
+    ingested_at: Column | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
-    """Append parsed messages to the raw table, partitioned by ingestion date."""
+    """Append parsed messages to the raw table, partitioned by ingestion date.
+
+    With ``once_within`` ("2 hours") a message that is delivered again within that time is
+    stored once (:func:`~ledgerwatch.streaming.stateful.first_deliveries`). A stream with a
+    ``name`` counts what each micro-batch delivers, for :mod:`~ledgerwatch.streaming.progress`.
+    """
     table = layer_tables(spec)["bronze.transactions_raw"]
-    rows = table.laid_out(parse_messages(messages, spec))
-    return start_append(rows, target, checkpoint, table.partition_by, trigger, sink_format)
+    parsed = parse_messages(messages, spec, ingested_at, keep_unparsed=bool(name))
+    if name:
+        _, partition, offset = PROVENANCE_COLUMNS
+        newest = F.try_to_timestamp(spec.event_time)
+        parsed = observed(parsed, partition, offset, newest, F.col(spec.ingested_at), F.col(REJECT_COLUMN).isNotNull())
+    if once_within:
+        parsed = first_deliveries(parsed, spec.raw_id, spec.ingested_at, once_within)
+    rows = table.laid_out(parsed)
+    return start_append(rows, target, checkpoint, table.partition_by, trigger, sink_format, name)
 
 
 def start_rejects(
