@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators.classes import ClassWeights, balanced_weights
+from ledgerwatch.operators.classes import ClassWeights, balanced_weights, checked_weights
 from ledgerwatch.operators.silver import clean, with_class_weight, with_feature_array
 from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import layer_tables, read_layer, save_layer
+from ledgerwatch.sources.writers import replace_partitions
 from ledgerwatch.spec import TransactionSpec
 
 
@@ -92,3 +95,85 @@ def extend_silver(
         fresh = shape(silver_rows(of_late(bronze), spec, weights)).dropDuplicates([spec.raw_id])
         missing = fresh.join(of_late(stored).select(spec.raw_id), spec.raw_id, "left_anti")
         save_layer(missing, tables[name], target=target)
+
+
+PROGRESS_SCHEMA = "arrived_rows long, label double, count long, ingestion_date date"
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """How many raw rows of each ingestion date are in the typed tables, and their labels."""
+    try:
+        return spark.read.schema(PROGRESS_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], PROGRESS_SCHEMA)
+
+
+def open_dates(bronze: DataFrame, progress: DataFrame) -> list[date | None]:
+    """Ingestion dates of which the raw table has another number of rows than is typed.
+
+    The raw table is partitioned by that date and nothing but the partition is asked for, so
+    this takes file footers, one row per date on the driver, and no column.
+    """
+    arrived = bronze.groupBy("ingestion_date").agg(F.count(F.lit(1)).alias("now_rows"))
+    known = progress.groupBy("ingestion_date").agg(F.max("arrived_rows").alias("arrived_rows"))
+    same = arrived["ingestion_date"].eqNullSafe(known["ingestion_date"])
+    found = arrived.join(known, same & (F.col("now_rows") == F.col("arrived_rows")), "left_anti")
+    return sorted((r["ingestion_date"] for r in found.collect()), key=lambda d: (d is not None, d))
+
+
+def dates_only(rows: DataFrame, column: str, dates: list[date | None]) -> DataFrame:
+    """The partitions of some dates; the others are not read."""
+    wanted = F.col(column).isin([d for d in dates if d is not None])
+    return rows.filter(wanted | F.col(column).isNull() if None in dates else wanted)
+
+
+def advance_silver(
+    bronze: DataFrame, spec: TransactionSpec, clean_target: str, features_target: str, progress: str
+) -> list[date | None]:
+    """Append the raw events that are new since the last run; returns the dates that were open.
+
+    ``bronze`` is the raw table with its partition column; ``progress`` a folder of this
+    function's own with a row per ingestion date and label. Only open dates are read, cleaned
+    and compared with the typed rows of the event dates that they touch; an event that comes
+    late to an old ingestion date opens that date again. Class weights are those of all rows so
+    far, from the stored label counts.
+
+    Progress is stored last: a run that stops before is repeated and adds only what is missing.
+    A raw date that is rewritten with as many rows as before is not noticed; ``extend_silver``
+    compares events and finds it.
+    """
+    spark = bronze.sparkSession
+    tables = layer_tables(spec)
+    state = read_progress(spark, progress)
+    dates = open_dates(bronze, state)
+    if not dates:
+        return []
+    arrived = dates_only(bronze, "ingestion_date", dates)
+    valid = clean(arrived, spec, F.col(spec.ingested_at))
+    day = F.to_date(spec.ingested_at)
+    labels = valid.groupBy(day.alias("ingestion_date"), spec.label).agg(F.count(F.lit(1)).alias("count"))
+    now = arrived.groupBy("ingestion_date").agg(F.count(F.lit(1)).alias("arrived_rows"))
+    # A date without a valid row has a row without a label.
+    both = now.join(labels.withColumnRenamed("ingestion_date", "_date"), F.col("ingestion_date").eqNullSafe(F.col("_date")), "left")
+    fresh_state = materialize(
+        both.select("arrived_rows", F.col(spec.label).cast("double").alias("label"), F.coalesce("count", F.lit(0)).cast("long").alias("count"), "ingestion_date"),
+        "label-counts",
+    )
+    closed = state.join(fresh_state.select("ingestion_date").distinct(), state["ingestion_date"].eqNullSafe(fresh_state["ingestion_date"]), "left_anti")
+    counts = closed.unionByName(fresh_state).filter("label is not null").groupBy("label").agg(F.sum("count").alias("count"))
+    weights = checked_weights(counts, "label")
+
+    fresh = silver_rows(arrived, spec, weights).dropDuplicates([spec.raw_id])
+    fresh = materialize(fresh.withColumn("event_date", F.to_date(spec.timestamp)), "fresh-rows")
+    touched = [r[0] for r in fresh.select("event_date").distinct().collect()]
+    for name, shape, target in (
+        ("silver.transactions_clean", lambda rows: rows, clean_target),
+        ("silver.transactions_features", lambda rows: feature_rows(rows, spec), features_target),
+    ):
+        stored = dates_only(read_layer(spark, tables[name], target, missing_is_empty=True), "event_date", touched)
+        missing = fresh.join(stored.select(spec.raw_id), spec.raw_id, "left_anti").drop("event_date")
+        save_layer(shape(missing), tables[name], target=target)
+    replace_partitions(fresh_state.repartition(1), progress, ["ingestion_date"])
+    return dates

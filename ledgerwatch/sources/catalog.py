@@ -61,6 +61,7 @@ class LayerTable:
         )
 
 
+# Columns and types of all layer tables, below.
 def _struct(*groups: tuple[T.DataType, tuple[str, ...]]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for kind, names in groups for name in names])
 
@@ -192,10 +193,17 @@ def layer_tables(spec: TransactionSpec) -> dict[str, LayerTable]:
 
 
 def create_tables(
-    spark: SparkSession, spec: TransactionSpec, table_format: str = "parquet", catalog: str = ""
+    spark: SparkSession,
+    spec: TransactionSpec,
+    table_format: str = "parquet",
+    catalog: str = "",
+    database_prefix: str = "",
 ) -> list[str]:
-    """Create the databases and tables that do not exist yet; returns the table names."""
-    prefix = f"{catalog}." if catalog else ""
+    """Create the databases and tables that do not exist yet; returns the table names.
+
+    ``database_prefix`` goes before every database, for several sets of tables in a catalog.
+    """
+    prefix = (f"{catalog}." if catalog else "") + database_prefix
     for database in DATABASES:
         spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {prefix}{database}")
     created = []

@@ -55,6 +55,7 @@ class TransactionSpec:
         numbers = [T.StructField(name, T.DoubleType()) for name in self.required]
         return T.StructType(text + numbers)
 
+    # The columns of the raw, the typed and the feature table.
     @property
     def bronze_columns(self) -> tuple[str, ...]:
         return (self.id, self.event_time, *self.required, *self._origin)
