@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +51,54 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@dataclass
+class Scratch:
+    """The intermediate results of one piece of work, to be removed together when it is done."""
+
+    name: str = field(default_factory=lambda: f"work-{uuid.uuid4().hex}")
+    tables: list[str] = field(default_factory=list)
+
+    def folder(self, spark: SparkSession) -> str:
+        return f"{shared_folder(spark)}/ledgerwatch/{self.name}"
+
+    def holds(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads any of them."""
+        return any(f"/{self.name}/" in path for path in df.inputFiles())
+
+    def remove(self, spark: SparkSession) -> None:
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.folder(spark))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_work() -> Iterator[Scratch]:
+    """Paths and tables that are made inside belong to one piece of work."""
+    work = Scratch()
+    token = _scratch.set(work)
+    try:
+        yield work
+    finally:
+        _scratch.reset(token)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/ledgerwatch/{label}-{uuid.uuid4().hex}"
+    work = _scratch.get()
+    base = work.folder(spark) if work else f"{shared_folder(spark)}/ledgerwatch"
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_table(label: str) -> str:
+    """A fresh name for a catalog table over a scratch path."""
+    name, work = f"{label}_{uuid.uuid4().hex}", _scratch.get()
+    if work:
+        work.tables.append(name)
+    return name
 
 
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
