@@ -20,7 +20,6 @@ rounded to a quarter of an octave: a bounded table, which the driver fits.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from itertools import chain
 
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwatch.session import scratch_path
+from ledgerwatch.session import scratch_path, scratch_table
 from llm.rows import crc_rest, on_workers, parts_of, stored
 from llm.text import texts_of
 
@@ -288,7 +287,7 @@ def _chunked(docs: DataFrame, parts: int) -> DataFrame:
     labels = F.array(*[F.lit(x).cast("long") for x in _labels(docs.sparkSession, parts)])
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.size(labels)).cast("int")
     own = docs.withColumn("chunk", F.get(labels, deal))
-    name = f"llm_chunks_{uuid.uuid4().hex}"
+    name = scratch_table("llm_chunks")
     writer = own.repartition(parts, "chunk").write.format("parquet").option("compression", "zstd")
     path = scratch_path(docs.sparkSession, "llm-chunks")
     writer.option("path", path).bucketBy(parts, "chunk").sortBy("chunk").saveAsTable(name)

@@ -24,7 +24,6 @@ streamed once; a shard with many segments or patterns is split over several task
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwatch.session import scratch_path
+from ledgerwatch.session import scratch_path, scratch_table
 from llm.rows import ROW, on_workers, parts_of, pieces_for, runs, smaller, spans, stored, wrapped
 from llm.text import texts_of
 
@@ -266,7 +265,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
     texts where they are."""
     spark = docs.sparkSession
     parts = parts_of(spark)
-    name = f"llm_rows_{uuid.uuid4().hex}"
+    name = scratch_table("llm_rows")
     own = docs.withColumn(ROW, F.monotonically_increasing_id())
     writer = own.repartition(parts, ROW).write.format("parquet").option("compression", "zstd")
     writer.option("path", scratch_path(spark, "llm-rows")).bucketBy(parts, ROW).sortBy(ROW).saveAsTable(name)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from llm import near_copies
 
@@ -87,3 +89,55 @@ def test_near_copies_of_odd_rows(documents, odd_rows):
 def test_near_copies_of_the_given_table(spark, documents, sf_docs):
     rows = [r for r in sf_docs(spark, "/root/testdata/sf0.01") if len((r[1] or "").split()) >= 20]
     assert kept(near_copies.keep_one(documents(rows, clashing=False))) == plain_kept(rows)
+
+
+def test_a_large_group_around_the_similarity(documents):
+    """Two thousand copies of one text, each with edits of its own: of pairs some have the
+    similarity and most do not quite."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, words, rng.choice([1, 2, 3, 3])))) for i in range(2_000)]
+    sets = plain_sets([r[1] for r in rows])
+    got = kept(near_copies.keep_one(documents(rows, clashing=False)))
+    assert got == by_counts(rows, sets)
+
+
+def by_counts(rows, sets):
+    """``plain_kept`` by numpy: all pairs at once."""
+    names = {s: k for k, s in enumerate(sorted({x for own in sets for x in own}))}
+    table = np.zeros((len(sets), len(names)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        table[i, [names[x] for x in own]] = 1
+    sizes = table.sum(axis=1)
+    near = 9 * (table @ table.T) >= 4 * (sizes[:, None] + sizes[None, :])
+    group = np.arange(len(rows))
+    while True:
+        least = np.where(near, group[None, :], len(rows)).min(axis=1)
+        if (least == group).all():
+            return Counter((rows[i][0], rows[i][1]) for i in np.unique(group))
+        group = least
+
+
+def test_large_keys_and_hubs_are_cut(monkeypatch, documents):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(rng, words, rng.choice([1, 2, 3])))) for i in range(150)]
+    monkeypatch.setattr("llm.sign_hashing.NODE", 16)
+    monkeypatch.setattr(near_copies, "HUB", 7)
+    assert kept(near_copies.keep_one(documents(rows))) == plain_kept(rows)
+
+
+def test_groups_of_sets_equal_all_pairs():
+    rng = random.Random(10)
+    for _ in range(30):
+        base = rng.sample(range(1000), 20)
+        sets = [np.unique(np.array([x if rng.random() > 0.15 else rng.randrange(1000) for x in base], dtype=np.uint64)) for _ in range(25)]
+        group = near_copies.groups_of(sets, (4, 5))
+        root = list(range(25))
+        for i in range(25):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        assert group.tolist() == root

@@ -5,8 +5,9 @@ from pathlib import Path
 
 import corpus_pipeline
 from llm import host_rules, mixing
+from llm.rows import stored
 from test_repeats import expected as cut_rows
-from test_simhash import plain_groups, plain_print
+from test_near_copies import plain_kept
 from test_tokens import check_packing
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -30,11 +31,7 @@ def test_stages_against_plain_versions(spark):
     docs, before = spark.createDataFrame(rows_of(out), docs.schema), rows_of(out)
 
     out = stages["near_dedup"](spark, docs, "")
-    groups = plain_groups([plain_print(r[1]) for r in before])
-    least = {}
-    for r, g in zip(before, groups):
-        least[g] = min(least.get(g, r[0]), r[0])
-    assert Counter(rows_of(out)) == Counter(r for r in before if r[0] in set(least.values()))
+    assert Counter((r[0], r[1]) for r in rows_of(out)) == plain_kept(before) and out.columns == columns
     docs, before = spark.createDataFrame(rows_of(out), docs.schema), rows_of(out)
 
     out = stages["substring_dedup"](spark, docs, "")
@@ -44,11 +41,49 @@ def test_stages_against_plain_versions(spark):
     docs, before = spark.createDataFrame(changed, docs.schema), changed
 
     out = stages["mix_sources"](spark, docs, "")
+    out = stored(out, "mixed")
     copies = {r.doc_id: r.copies for r in mixing.mix_sizes(docs).collect()}
     assert Counter(rows_of(out)) == Counter({r: copies[r[0]] for r in before if copies[r[0]]})
     check_packing(rows_of(out), stages["pack_sequences"](spark, out, "").collect(), 1024)
 
 
+def through_all_stages(spark, docs):
+    for name, build in corpus_pipeline.STAGES:
+        docs = stored(build(spark, docs, ""), name)
+        yield name, docs
+
+
+def test_odd_rows_through_all_stages(spark, documents, odd_rows):
+    # Sentences long enough for the rules, some near and some exact copies.
+    prose = " ".join(f"the quick word {i} jumps over lazy sentence {i * 7} again" for i in range(60))
+    more = [(100, prose, "a"), (101, prose, "b"), (102, prose + " and then more", None), (None, prose, "c")]
+    docs = documents([*odd_rows, *more], clashing=False)
+    seen = dict(through_all_stages(spark, docs))
+    left = [r.doc_id for r in seen["near_dedup"].collect()]
+    assert left.count(100) == 1 and not {101, 102} & set(left)
+    for name in ("quality_rules", "near_dedup", "substring_dedup", "mix_sources"):
+        assert seen[name].columns == docs.columns
+    assert seen["pack_sequences"].count() > 0
+
+
+def test_an_empty_table_through_all_stages(spark, documents):
+    for _, out in through_all_stages(spark, documents([], clashing=False)):
+        assert out.count() == 0
+
+
+def test_a_stage_removes_what_the_one_before_stored(spark, documents):
+    text = " ".join(f"a fair word number {i} in a long sentence" for i in range(40))
+    docs = documents([(i, f"{text} end {i}", "a") for i in range(5)], clashing=False)
+    out = corpus_pipeline.substring_dedup(spark, docs, "")
+    work = corpus_pipeline._before[spark.sparkContext.applicationId]
+    assert work.holds(out) and work.tables and out.count() == 5
+    lazily = corpus_pipeline.near_dedup(spark, out, "")  # still reads what substring_dedup stored
+    assert lazily.count() >= 1 and out.count() == 5
+    again = corpus_pipeline._before[spark.sparkContext.applicationId]
+    corpus_pipeline.mix_sources(spark, stored(lazily, "kept"), "")
+    assert not Path(again.folder(spark).removeprefix("file:")).exists()
+
+
 def test_run_packs_what_the_stages_leave(spark):
     placed = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     filled = Counter()
