@@ -7,8 +7,10 @@ nearer to by the relaxation factor, and so on, which leaves near and diverse edg
 then added the other way round, and lists that grow too long are pruned anew. Vectors that no
 path from the entry reaches become entries themselves. The graphs are a stored table.
 
-A query block visits every shard with a beam search; scores of what the beam holds are computed
-anew in double precision from the original vectors, and the best of all shards are the result.
+Every query visits every shard of its length with a beam search; scores of what the beam holds
+are computed anew in double precision from the original vectors, and the best of all shards are
+the result. A shard's graph reaches a task once, before its queries, which then stream through;
+only where more than ``BLOCK`` queries meet it does a second task get a copy.
 
 Inner products become distances by one more coordinate, which gives all vectors the same length;
 a query has 0 there. Rows with the same vector are one node. A node keeps the ``k`` + 1 smallest
@@ -17,16 +19,19 @@ ids, which is exact: ties go to smaller ids, so no result can hold more of its r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from llm.rows import on_workers, pieces_for, stored
+from llm.rows import on_workers, parts_of, pieces_for, runs, stored
 
-SHARD = 8192  # vectors of a graph
-BLOCK = 8192  # queries that one task sends through a graph
+SHARD = 8192  # vectors of a graph, or fewer where that leaves tasks idle
+LEAST = 2048
+BLOCK = 1 << 17  # queries that one task sends through a graph
 DEGREE = 40
 BUILD_BEAM = 72
 BEAM = 112
@@ -157,31 +162,29 @@ class Graph:
             open_ = np.concatenate([open_, fresh], axis=1)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    joined = column.combine_chunks()
-    if isinstance(joined, pa.ChunkedArray):
-        joined = pa.concat_arrays(joined.chunks)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    joined = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     flat = joined.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(joined), -1).astype(np.float64)
 
 
-INDEX = "shard int, node int, vector array<double>, ids array<long>, edges array<int>, entry boolean"
+INDEX = "size int, shard int, node int, vector array<{kind}>, ids array<long>, edges array<int>, entry boolean, top double"
 
 
-def _built(top: float):
+def _built(schema: pa.Schema):
     def of(key: tuple, table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("vector"))
+        x, top = _matrix(table.column("vector")), table.column("top")[0].as_py()
         more = np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
         graph = Graph(np.column_stack([x, more]).astype(np.float32)).build()
         entry = np.zeros(len(x), dtype=bool)
         entry[graph.entries] = True
-        return pa.table(
-            {
-                "shard": pa.array(np.full(len(x), key[0].as_py(), np.int32)), "node": pa.array(np.arange(len(x), dtype=np.int32)),
-                "vector": table.column("vector").cast(pa.list_(pa.float64())), "ids": table.column("ids").cast(pa.list_(pa.int64())),
-                "edges": pa.array(list(graph.edges), pa.list_(pa.int32())), "entry": pa.array(entry),
-            }
-        )
+        columns = {
+            "size": pa.array(np.full(len(x), key[0].as_py(), np.int32)), "shard": pa.array(np.full(len(x), key[1].as_py(), np.int32)),
+            "node": pa.array(np.arange(len(x), dtype=np.int32)), "vector": table.column("vector").cast(schema.field("vector").type),
+            "ids": table.column("ids").cast(pa.list_(pa.int64())), "edges": pa.array(list(graph.edges), pa.list_(pa.int32())),
+            "entry": pa.array(entry), "top": pa.array(np.full(len(x), top)),
+        }
+        return pa.table(columns, schema=schema)
 
     return of
 
@@ -190,36 +193,52 @@ FOUND = "query_id long, query_row long, vec_id long, score double"
 _found = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _searched(top: float, k: int):
-    def of(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return _found.empty_table()
-        index = index.sort_by("node")
-        x, q = _matrix(index.column("vector")), _matrix(queries.column("vector"))
-        more = np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
-        graph = Graph(np.column_stack([x, more]).astype(np.float32))
-        graph.edges = np.array(index.column("edges").to_pylist(), dtype=np.int32)
-        graph.entries = np.flatnonzero(index.column("entry").to_numpy())
+class Shard:
+    """A shard's graph with its vectors as given, and the ids of each."""
+
+    def __init__(self, index: pa.Table):
+        self.x, top = _matrix(index.column("vector")), index.column("top")[0].as_py()
+        more = np.sqrt(np.maximum(0.0, top - (self.x * self.x).sum(axis=1)))
+        self.graph = Graph(np.column_stack([self.x, more]).astype(np.float32))
+        self.graph.edges = np.array(index.column("edges").to_pylist(), dtype=np.int32)
+        self.graph.entries = np.flatnonzero(index.column("entry").to_numpy())
         ids = index.column("ids").to_pylist()
-        held = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begin = np.concatenate([np.array(i, dtype=np.int64) for i in ids]), np.cumsum(held) - held
-        own = queries.column("query_id").to_numpy()
-        rows = queries.column("query_row").to_numpy()
+        self.held = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat, self.begin = np.concatenate([np.array(i, dtype=np.int64) for i in ids]), np.cumsum(self.held) - self.held
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        q, own, rows = _matrix(queries.column("vector")), queries.column("query_id").to_numpy(), queries.column("query_row").to_numpy()
         flat_q = np.column_stack([q, np.zeros(len(q))]).astype(np.float32)
         out = []
         for at in range(0, len(q), AT_ONCE):
-            nodes, _ = graph.search(flat_q[at : at + AT_ONCE], max(BEAM, 2 * k))
+            nodes, _ = self.graph.search(flat_q[at : at + AT_ONCE], max(BEAM, 2 * k))
             for i, row in enumerate(nodes, start=at):
-                row = row[row >= 0]
-                row = np.unique(row)
-                score = np.einsum("nd,d->n", x[row], q[i])
-                many = held[row]
-                places = np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                found, score = flat[places], np.repeat(score, many)
+                row = np.unique(row[row >= 0])
+                score = np.einsum("nd,d->n", self.x[row], q[i])
+                many = self.held[row]
+                places = np.repeat(self.begin[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                found, score = self.flat[places], np.repeat(score, many)
                 score, found = score[found != own[i]], found[found != own[i]]
                 best = np.lexsort((found, -score))[:k]
                 out.append((np.full(len(best), own[i]), np.full(len(best), rows[i]), found[best], score[best]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_found)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_found)
+
+
+def _searched(k: int):
+    """Rows arrive by shard, its nodes in order before its queries."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[pa.RecordBatch] = []
+        name, shard = None, None
+        for (*key, kind), part in runs(batches, ["size", "shard", "block", "kind"]):
+            if key != name:
+                name, nodes, shard = key, [], None
+            if not kind:
+                nodes.append(part)
+            elif nodes or shard:
+                if nodes:
+                    shard, nodes = Shard(pa.Table.from_batches(nodes)), []
+                yield shard.nearest(part, k)
 
     return of
 
@@ -237,38 +256,49 @@ def neighbours(
     """query_id, rank, vec_id and score of the ``k`` nearest found for each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows with
-    another id. Null, zero and non-finite vectors and null ids take no part, nor do vectors of
-    fewer components than the longest. A repeated row counts once; rows that share an id but
-    not the vector are queries and candidates each for itself. With fewer than ``k`` candidates
-    all are returned, and none for a table without others. Other columns are not read.
+    another id and a vector of the same length. Null, zero and non-finite vectors and null ids
+    take no part. A repeated row counts once; rows that share an id but not the vector are
+    queries and candidates each for itself. With fewer than ``k`` candidates all are returned,
+    and none for a table without others. Other columns are not read.
     """
-    on_workers(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    spark = table.sparkSession
+    on_workers(spark)
+    parts = max(parts_of(spark), 1)
+    floats = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "float" if floats else "double"
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & _usable("vector"))
-    longest = rows.agg(F.max(F.size("vector")).alias("d")).first()["d"] or 0
-    rows = rows.where(F.size("vector") == longest).groupBy("id", "vector").agg(F.count("*").alias("times")).drop("times")
+    rows = rows.groupBy("id", "vector").agg(F.count("*").alias("times")).drop("times")
     place = F.row_number().over(W.partitionBy("vector").orderBy("id"))
     first = rows.withColumn("place", place).where(F.col("place") <= k + 1)
     nodes = stored(first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct-vectors")
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    stats = nodes.agg(F.count("*").alias("n"), F.max(square).alias("top")).first()
-    shards, top = pieces_for(stats["n"], shard), stats["top"] or 0.0
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    index = stored(dealt.groupBy("shard").applyInArrow(_built(top), INDEX), "graphs")
-
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    stats = nodes.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.max(square).alias("top"))
+    each = F.greatest(F.lit(min(LEAST, shard)), F.least(F.lit(shard), F.ceil(F.col("n") / parts)))
+    lengths = stored(stats.select("size", "top", F.ceil(F.col("n") / each).cast("int").alias("shards")), "lengths")
+
+    dealt = nodes.withColumn("size", F.size("vector")).join(lengths, "size")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    number = pa.float32() if floats else pa.float64()
+    schema = pa.schema([
+        ("size", pa.int32()), ("shard", pa.int32()), ("node", pa.int32()), ("vector", pa.list_(number)), ("ids", pa.list_(pa.int64())),
+        ("edges", pa.list_(pa.int32())), ("entry", pa.bool_()), ("top", pa.float64()),
+    ])
+    index = stored(dealt.drop("shards").groupBy("size", "shard").applyInArrow(_built(schema), INDEX.format(kind=kind)), "graphs")
+
+    asked = rows.where(F.col("id") % every == 0).withColumn("size", F.size("vector"))
     queries = stored(
-        rows.where(F.col("id") % every == 0).select(
-            F.col("id").alias("query_id"), "vector", F.monotonically_increasing_id().alias("query_row")
-        ),
-        "queries",
+        asked.select(F.col("id").alias("query_id"), "vector", "size", F.monotonically_increasing_id().alias("query_row")), "queries"
     )
     blocks = pieces_for(queries.count(), BLOCK)
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    block = F.pmod(F.xxhash64("query_row"), F.lit(blocks)).cast("int")
-    sent = queries.withColumn("block", block).withColumn("shard", every_shard)
-    met = index.withColumn("block", every_block).groupBy("shard", "block").cogroup(sent.groupBy("shard", "block"))
-    found = met.applyInArrow(_searched(top, k), FOUND)
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    every_shard = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    block = F.pmod(F.xxhash64("query_row"), F.lit(blocks)).cast("int").alias("block")
+    sent = queries.join(lengths, "size").select("size", every_shard, "query_id", "query_row", "vector", block, F.lit(1).alias("kind"))
+    graphs = index.select("*", every_block, F.lit(0).alias("kind"))
+    met = graphs.unionByName(sent, allowMissingColumns=True).repartition(parts, "size", "shard", "block")
+    met = met.sortWithinPartitions("size", "shard", "block", "kind", "node")
+    found = met.mapInArrow(_searched(k), FOUND)
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -140,6 +140,25 @@ def test_vectors_that_take_no_part(spark):
     assert graph_search.neighbours(vectors(spark, [])).count() == 0
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(2)
+    two = [(k, rng.normal(size=2).tolist()) for k in range(100)]
+    plain = {tuple(r) for r in graph_search.neighbours(vectors(spark, two)).collect()}
+    mixed = vectors(spark, [*two, (200, [1.0, 2.0, 3.0]), (201, [3.0, 2.0, 1.0]), (220, [1.0])])
+    for name in ("query_row", "shard", "kind", "label"):  # columns of other meaning
+        mixed = mixed.withColumn(name, mixed["vec_id"])
+    got = {tuple(r) for r in graph_search.neighbours(mixed).collect()}
+    assert len(plain) == 100 and got == plain | {(200, 1, 201, 10.0)}
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(400)]
+    want = {tuple(r) for r in graph_search.neighbours(vectors(spark, rows)).collect()}
+    monkeypatch.setattr(graph_search, "BLOCK", 7)
+    assert {tuple(r) for r in graph_search.neighbours(vectors(spark, rows)).collect()} == want
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op5_positive_unlabelled"](spark, folder).collect()}
