@@ -20,16 +20,87 @@ from llm.rows import on_workers
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRICT, SOFT = 2, 1
-# A starting vocabulary; a deployment passes its own list of any length.
-TERMS: dict[str, int] = {
-    **dict.fromkeys(("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "escorts", "warez", "phishing"), STRICT),
-    **dict.fromkeys(
-        ("adult", "sex", "nude", "casino", "betting", "poker", "slots", "jackpot", "loan", "loans", "payday", "pills", "viagra", "crack", "keygen", "torrent", "free", "cheap", "download"),
+
+
+def inflected(stem: str) -> set[str]:
+    """A term with the endings of English nouns and verbs, by their spelling rules."""
+    forms = {stem}
+    if stem.endswith(("s", "x", "z", "ch", "sh")):
+        forms.add(stem + "es")
+    elif stem.endswith("y") and stem[-2:-1] not in tuple("aeiou"):
+        forms.add(stem[:-1] + "ies")
+    else:
+        forms.add(stem + "s")
+    return forms
+
+
+def verb_forms(stem: str, doubled: bool = False) -> set[str]:
+    root = stem[:-1] if stem.endswith("e") else stem + stem[-1] * doubled
+    return inflected(stem) | {root + "ing"} | inflected(root + "er")
+
+
+# General terms by category, with the weight of the category. Nouns and verbs are inflected by
+# rule, so the stems stay readable; a deployment passes its own ``terms`` of any length.
+CATEGORIES: dict[str, tuple[int, tuple[str, ...], tuple[tuple[str, bool], ...]]] = {
+    # category: weight, nouns, verbs with whether the last letter doubles
+    "adult": (
+        STRICT,
+        (
+            "adult", "bdsm", "boob", "bukkake", "camgirl", "camsex", "deepthroat", "dildo", "erotic", "erotica", "escort", "fetish",
+            "futanari", "hardcore", "hentai", "hooker", "horny", "incest", "lesbo", "livesex", "milf", "naked", "nsfw", "nude", "orgasm",
+            "porn", "porno", "pornstar", "pussy", "sex", "sexcam", "sexshop", "sextoy", "sexy", "slut", "stripper", "threesome", "upskirt",
+            "voyeur", "webcamsex", "whore", "xxx", "xvideo",
+        ),
+        (("fuck", False), ("masturbate", False), ("gangbang", False)),
+    ),
+    "gambling": (
+        STRICT,
+        (
+            "baccarat", "bet", "betting", "bettor", "betslip", "blackjack", "bookie", "bookmaker", "casino", "craps", "freespin", "jackpot",
+            "onlinecasino", "poker", "pokies", "roulette", "sportsbet", "sportsbook", "wager",
+        ),
+        (("gamble", False), ("wager", False)),
+    ),
+    "spam": (
+        STRICT,
+        (
+            "adserver", "adfly", "backlink", "cialis", "clickbait", "clickfraud", "fakeid", "getrichquick", "levitra", "linkfarm", "payday",
+            "ponzi", "popunder", "replica", "scam", "tramadol", "valium", "viagra", "xanax",
+        ),
+        (("spam", True), ("phish", False), ("scam", True)),
+    ),
+    "piracy": (
+        STRICT,
+        ("crackz", "filmstream", "fullrip", "keygen", "nulled", "warez", "torrentz"),
+        (),
+    ),
+    "bait": (
         SOFT,
+        (
+            "ad", "babe", "bargain", "bingo", "bonus", "bulk", "cam", "cash", "cheap", "click", "codec", "coupon", "crack", "credit",
+            "crypto", "dating", "deal", "debt", "diet", "discount", "download", "farm", "flirt", "forex", "free", "gift", "giveaway",
+            "hack", "hot", "instant", "loan", "lottery", "lotto", "lucky", "miracle", "mortgage", "nofee", "odds", "offer", "pharma",
+            "pharmacy", "pill", "popup", "prize", "promo", "rich", "serial", "slot", "slots", "stake", "torrent", "unlimited",
+            "viral", "weightloss", "win", "winner",
+        ),
+        (("track", False), ("click", False), ("stream", False), ("earn", False), ("win", True)),
     ),
 }
 
 
+def vocabulary(categories: dict = CATEGORIES) -> dict[str, int]:
+    """Terms with their weights; a term of several categories has its largest weight."""
+    terms: dict[str, int] = {}
+    for weight, nouns, verbs in categories.values():
+        forms = set().union(*(inflected(n) for n in nouns), *(verb_forms(v, d) for v, d in verbs))
+        for form in forms:
+            terms[form] = max(weight, terms.get(form, 0))
+    return terms
+
+
+TERMS = vocabulary()
+
+
 def _host_path(url: str) -> tuple[Column, Column]:
     text = F.coalesce(F.col(url), F.lit(""))
     at = F.instr(text, "://")
