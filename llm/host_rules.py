@@ -1,12 +1,14 @@
 """Quality rules with host-level verdicts.
 
 Every document is measured and held against rules. Hard rules reject it outright. Soft rules
-alone do not: whether a soft failure counts depends on the host it comes from. Failures of any
-rule are summed by host and the host's rate is shrunk towards the rate of all documents by a
-beta prior, whose strength is fitted to the spread of the hosts' rates: a host with few
-documents is judged mostly by the prior. Hosts above ``host_limit`` are distrusted, and the
-verdict is joined back: a document that fails a soft rule goes if its host is distrusted. A
-document that fails no rule stays whatever its host.
+are limits on averages, which good documents exceed now and then and bad ones by far: how often
+a document has the worst of them is its excess (1 is the limit, 2 twice the limit). Failures of
+any rule are summed by host, and the host's rate is shrunk towards the rate of all documents by
+a beta prior, whose strength is fitted to how far hosts' rates lie apart beyond what chance
+alone makes of their few documents. The verdict, a tolerance, is joined back to documents: an
+average host's documents may exceed a limit ``TOLERANCE`` times, those of a host that fails
+twice as often half as much, down to the limit itself, those of a better host more, up to twice
+that. A document within all limits stays whatever its host.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.rows import on_workers, smaller, spans, stored, unwrapped, wrapped
+from llm.rows import ROW, numbered, on_workers, smaller, spans, stored, unwrapped, wrapped
 from llm.text import texts_of
 
 SYMBOLS = b"#*$%&|<>"
 FOLLOWING = bytes(range(0x80, 0xC0))  # bytes of a character behind its first
 WINDOW = 8
+TOLERANCE = 2.0  # times the limit of a soft rule that an average host's documents may have
+STRONGEST = 1e6
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,66 +119,77 @@ def hard_failure() -> Column:
     return (words < 20) | (100 * repeated > 30 * words)
 
 
-def soft_failure() -> Column:
-    """Words of 2 to 14 characters on average, at most one symbol in ten words, and at most one
-    repeated line in thirty words are in order."""
-    words = F.col(f"{PREFIX}n_words")
+def excess() -> Column:
+    """How often a document has the limit of its worst soft rule: words of 2 to 14 characters on
+    average, one symbol in ten words, one repeated line in thirty words. 0 without words."""
+    words = F.col(f"{PREFIX}n_words").cast("double")
     chars, symbols, lines = (F.col(PREFIX + m) for m in ("word_chars", "n_symbols", "n_dup_lines"))
-    return (chars < 2 * words) | (chars > 14 * words) | (10 * symbols > words) | (30 * lines > words)
+    worst = F.greatest(2 * words / chars, chars / (14 * words), 10 * symbols / words, 30 * lines / words)
+    return F.when(words > 0, worst).otherwise(0.0)
+
+
+def soft_failure() -> Column:
+    return excess() > 1
 
 
-def host_verdicts(measured: DataFrame, source_col: str, host_limit: float) -> DataFrame:
-    """One row per host: host, host_rate (shrunk) and distrusted. A null host is one of its own.
+def host_verdicts(measured: DataFrame, source_col: str) -> DataFrame:
+    """One row per host: host, n, host_rate (shrunk) and tolerance. A null host is one of its own.
 
-    The prior's mean is the failure rate of all documents. Its strength comes from the variance
-    of the hosts' rates, weighted by their documents, and lies between 8 and 1,000,000 documents, so that one
-    failure of a host with one document does not condemn it.
+    The prior's mean is the failure rate of all documents. Its strength, in documents, is that
+    of the beta distribution whose variance is the hosts' own: the variance of their rates,
+    weighted by documents, less what drawing each host's documents by chance adds. Hosts no
+    further apart than chance makes them get the prior (``STRONGEST``); the least strength is 1.
     """
     failed = F.when(hard_failure() | soft_failure(), 1).otherwise(0)
     hosts = measured.groupBy(F.col(source_col).alias("host")).agg(
         F.count("*").alias("n"), F.sum(failed).cast("long").alias("failures")
     )
     hosts = stored(hosts, "hosts")
-    all_rows = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f")).first()
+    all_rows = hosts.agg(F.sum("n").alias("n"), F.sum("failures").alias("f"), F.count("*").alias("hosts")).first()
     total = all_rows["n"] or 0
     mean = (all_rows["f"] or 0) / total if total else 0.0
     apart = F.col("failures") / F.col("n") - F.lit(mean)
-    variance = (hosts.agg(F.sum(F.col("n") * apart * apart)).first()[0] or 0.0) / max(1, total)
-    strength = min(1e6, max(8.0, mean * (1 - mean) / variance - 1)) if variance > 0 else 1e6
+    spread = (hosts.agg(F.sum(F.col("n") * apart * apart)).first()[0] or 0.0) / max(1, total)
+    chance = mean * (1 - mean) * all_rows["hosts"] / max(1, total)
+    own = spread - chance
+    strength = min(STRONGEST, max(1.0, mean * (1 - mean) / own - 1)) if own > 0 else STRONGEST
     rate = (F.lit(mean * strength) + F.col("failures")) / (F.lit(strength) + F.col("n"))
-    return stored(hosts.select("host", "n", rate.alias("host_rate"), (rate > host_limit).alias("distrusted")), "host-verdicts")
+    ratio = F.when(rate > 0, TOLERANCE * F.lit(mean) / rate).otherwise(2 * TOLERANCE)
+    tolerance = F.least(F.lit(2 * TOLERANCE), F.greatest(F.lit(1.0), ratio))
+    return stored(hosts.select("host", "n", rate.alias("host_rate"), tolerance.alias("tolerance")), "host-verdicts")
 
 
 def _decided(measured: DataFrame, hosts: DataFrame, source_col: str) -> DataFrame:
-    verdicts = hosts.select(F.col("host").alias("_rules_host"), F.col("distrusted").alias("_rules_distrusted"))
+    verdicts = hosts.select(F.col("host").alias("_rules_host"), F.col("tolerance").alias("_rules_tolerance"))
     joined = measured.join(verdicts, F.col(f"`{source_col}`").eqNullSafe(F.col("_rules_host")), "left")
-    distrusted = F.coalesce("_rules_distrusted", F.lit(False))
-    kept = ~hard_failure() & ~(soft_failure() & distrusted)
+    kept = ~hard_failure() & (excess() <= F.col("_rules_tolerance"))
     return joined.withColumn("_rules_failed", hard_failure()).withColumn("_rules_kept", kept)
 
 
-def judge(
-    docs: DataFrame, host_limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """One row per document: doc_id, the measures, base_failed (a hard rule) and kept.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, the measures, base_failed (a hard rule), kept, and what the
+    verdict came from: excess of the worst soft rule, and its host's tolerance and rate.
 
     A null or empty text has no words and fails; null ids and repeated rows are kept as they
     are, each judged alike. Other columns are not read. An empty table gives no rows.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     measured = stored(with_measures(own, keep_text=False), "measures")
-    decided = _decided(measured, host_verdicts(measured, "source", host_limit), "source")
+    decided = _decided(measured, host_verdicts(measured, "source"), "source")
     names = [F.col(PREFIX + m).alias(m) for m in MEASURES]
-    return decided.select("doc_id", *names, F.col("_rules_failed").alias("base_failed"), F.col("_rules_kept").alias("kept"))
+    return decided.select(
+        "doc_id", *names, F.col("_rules_failed").alias("base_failed"), F.col("_rules_kept").alias("kept"),
+        excess().alias("excess"), F.col("_rules_tolerance").alias("tolerance"))
 
 
-def keep(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", source_col: str = "source") -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that stay, with the columns of ``docs``.
 
-    Texts are read twice, once for the hosts' rates and once for the rows that stay.
+    Texts are measured once: a number for each row that is rejected is what meets them again.
     """
-    narrow = docs.select(F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    hosts = host_verdicts(stored(with_measures(narrow, keep_text=False), "measures"), "source", host_limit)
-    own = wrapped(docs, text_col).withColumn("source", F.col(f"doc.`{source_col}`"))
-    decided = _decided(with_measures(own), hosts, "source")
-    return unwrapped(decided.where("_rules_kept"), docs, text_col)
+    own = numbered(wrapped(docs, text_col), "numbered-documents")
+    slim = own.select(ROW, "text", F.col(f"doc.`{source_col}`").alias("source"))
+    measured = stored(with_measures(slim, keep_text=False), "measures")
+    decided = _decided(measured, host_verdicts(measured, "source"), "source")
+    rejected = stored(decided.where("NOT _rules_kept").select(ROW), "rejected-rows")
+    return unwrapped(own.join(rejected, ROW, "left_anti"), docs, text_col)

@@ -55,15 +55,21 @@ m AS (
   FROM d LEFT JOIN repeated USING (row) LEFT JOIN lines USING (row)),
 f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words OR 30 * n_dup_lines > n_words AS soft
+         CASE WHEN n_words > 0 THEN greatest(2 * n_words::DOUBLE / word_chars, word_chars / (14 * n_words::DOUBLE), 10 * n_symbols / n_words::DOUBLE,
+           30 * n_dup_lines / n_words::DOUBLE) ELSE 0 END AS excess
   FROM m),
-h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
-g AS (SELECT sum(bad)::DOUBLE / sum(n)::DOUBLE AS mean, sum(n)::DOUBLE AS n FROM h),
-v2 AS (SELECT any_value(g.mean) AS mean, sum(h.n * (h.bad::DOUBLE / h.n - g.mean) * (h.bad::DOUBLE / h.n - g.mean)) / any_value(g.n) AS variance FROM h, g),
-k AS (SELECT mean, CASE WHEN variance > 0 THEN least(1e6, greatest(8.0, mean * (1 - mean) / variance - 1)) ELSE 1e6 END AS strength FROM v2),
-z AS (SELECT h.source, (k.mean * k.strength + h.bad) / (k.strength + h.n) > 0.5 AS distrusted FROM h, k)
+h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR excess > 1 THEN 1 ELSE 0 END) AS bad FROM f GROUP BY source),
+g AS (SELECT sum(bad)::DOUBLE / sum(n)::DOUBLE AS mean, sum(n)::DOUBLE AS n, count(*) AS hosts FROM h),
+v2 AS (
+  SELECT any_value(g.mean) AS mean,
+         sum(h.n * (h.bad::DOUBLE / h.n - g.mean) * (h.bad::DOUBLE / h.n - g.mean)) / any_value(g.n)
+         - any_value(g.mean) * (1 - any_value(g.mean)) * any_value(g.hosts) / any_value(g.n) AS own
+  FROM h, g),
+k AS (SELECT mean, CASE WHEN own > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / own - 1)) ELSE 1e6 END AS strength FROM v2),
+z0 AS (SELECT h.source, mean, (k.mean * k.strength + h.bad) / (k.strength + h.n) AS rate FROM h, k),
+z AS (SELECT source, CAST(least(4.0, greatest(1.0, CASE WHEN rate > 0 THEN 2.0 * mean / rate ELSE 4.0 END)) AS DOUBLE) AS tolerance FROM z0)
 SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
-       NOT f.base_failed AND NOT (f.soft AND z.distrusted) AS kept
+       NOT f.base_failed AND f.excess <= z.tolerance AS kept, round(f.excess, 9) AS excess, round(z.tolerance, 9) AS tolerance
 FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.source"""
 
 

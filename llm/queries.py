@@ -53,7 +53,8 @@ def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(table(spark, sf_dir, "documents"))
+    judged = host_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({n: F.round(n, 9) for n in ("excess", "tolerance")})
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
