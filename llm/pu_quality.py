@@ -226,7 +226,8 @@ def classify(
     """One row per document: doc_id, held_out, score and predicted.
 
     Learns from rows of ``labels`` with label 1 and crc32(id as text) mod ``folds`` other than
-    ``held``; other labels, and those of documents that are not there, are not used. A null id is
+    ``held``; other labels, and those of documents that are not there, are not used, and a document
+    that has both labels is not trusted. A null id is
     the empty text and has no label. A null text is empty; texts without words share one score.
     Repeated rows are scored alike. Without positives every score is the prior 0.5 of a model
     that has seen nothing. Other columns of both tables are not read.
@@ -236,7 +237,8 @@ def classify(
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = own.select("doc_id", held_out, "text").mapInArrow(_featured, "doc_id long, held_out boolean, x array<float>")
     rows = stored(rows, "features")
-    trusted = labels.where(F.col(label_col) == 1).select(F.col("doc_id").alias("id")).distinct()
+    trusted = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
+    trusted = trusted.where("low = 1 AND high = 1").select("id")
     positives = rows.where(~F.col("held_out")).join(trusted, rows["doc_id"] == F.col("id"), "left_semi")
     positives = stored(positives.select("x"), "positives")
     if positives.isEmpty():
