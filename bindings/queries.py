@@ -313,10 +313,11 @@ def top_risk_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = views.bronze(spark, sf_dir)
     return listings.layer_counts(
         {
-            "bronze": views.bronze(spark, sf_dir),
-            "silver_clean": clean(views.bronze(spark, sf_dir), EVENTS),
+            "bronze": raw,
+            "silver_clean": clean(raw, EVENTS),
             "gold_scores": views.scores(spark, sf_dir),
         }
     )

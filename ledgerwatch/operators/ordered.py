@@ -16,14 +16,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
+WORTH_A_RANGE = 50_000  # fewer rows are summed up sooner than a task starts
 RANGE_COLUMN = "_range"
 
 
 def _with_range(points: DataFrame, order: str, rows_per_range: int) -> DataFrame:
     """Number value ranges so that a higher number always means higher values. There are as
-    many as the shuffle has partitions, or more where these would hold too many rows."""
-    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(2, least, ceil(points.count() / rows_per_range))
+    many as the shuffle has partitions, fewer where they would be tiny, or more where they
+    would hold too many rows."""
+    parts, rows = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count()
+    ranges = max(ceil(rows / rows_per_range), min(parts, ceil(rows / WORTH_A_RANGE)))
+    if ranges < 2:
+        return points.withColumn(RANGE_COLUMN, F.lit(0.0))
     shares = [step / ranges for step in range(1, ranges)]
     cuts = sorted(set(points.approxQuantile(order, shares, 1.0 / (4 * ranges))))
     inner = [cut for cut in cuts if isfinite(cut)]
