@@ -142,3 +142,21 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def pieces_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+def united(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups after linking members; every group is named after its first member."""
+    while True:
+        x, y = group[a], group[b]
+        differ = x != y
+        if not differ.any():
+            return group
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        lower = np.arange(len(group))
+        np.minimum.at(lower, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            again = lower[lower]
+            if (again == lower).all():
+                break
+            lower = again
+        group = lower[group]

@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
-from llm.rows import ROW, on_workers, parts_of, runs, stored
-from llm.simhash import _united
+from llm.rows import ROW, on_workers, parts_of, runs, stored, united
 
 MISS = 1e-5
 SKETCH = 256
@@ -224,7 +223,7 @@ def _linked(cosine: float, bits: int, tables: int):
             i, j = a[i], b[j]
             once = (i < j) if node.column("chunk")[0].as_py() == 0 else i != j
             i, j = i[once], j[once]
-            group = _united(group, i, j)
+            group = united(group, i, j)
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 new = ~(keys[p] == keys[q]).any(axis=1)  # met in no table before

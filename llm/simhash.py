@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.components import components
-from llm.rows import ROW, numbered, on_workers, parts_of, smaller, spans, stored, unwrapped, wrapped
+from llm.rows import ROW, numbered, on_workers, parts_of, smaller, spans, stored, united, unwrapped, wrapped
 from llm.text import shingles, texts_of
 
 BITS = 64
@@ -162,28 +162,10 @@ def _group_links(prints: np.ndarray, tree: Tree, roots: np.ndarray, chunk: np.nd
         hit = (member > query) & (np.bitwise_count(prints[query] ^ prints[member]) <= distance)
         if chunk is not None:
             hit &= (chunk[query] != chunk[member]) | (chunk[query] == 0)
-        group = _united(group, query[hit], member[hit])
+        group = united(group, query[hit], member[hit])
     return group
 
 
-def _united(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Groups after linking members; every group is named after its first member."""
-    while True:
-        x, y = group[a], group[b]
-        differ = x != y
-        if not differ.any():
-            return group
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        lower = np.arange(len(group))
-        np.minimum.at(lower, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            again = lower[lower]
-            if (again == lower).all():
-                break
-            lower = again
-        group = lower[group]
-
-
 def _linked(distance: int):
     """Links of the upper nodes of a partition, which arrive sorted by node and Gray rank."""
 

@@ -90,6 +90,19 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_over_many_splits(spark):
+    """A long chain whose links are dealt over all tasks, and a hot vertex."""
+    links = [(i, i + 1) for i in range(2_000)] + [(5_000, i) for i in range(5_001, 7_000)] + [(i, i + 10_000) for i in range(5_001, 5_400)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = {r["a"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    finally:
+        spark.conf.unset(key)
+    want = dict.fromkeys(range(1, 2_001), 0) | dict.fromkeys([*range(5_001, 7_000), *range(15_001, 15_400)], 5_000)
+    assert got == want
+
+
 def test_query_against_all_pairs(spark, sf_docs):
     rows = sf_docs(spark)
     assert found(QUERIES["op1_simhash"](spark, "/root/testdata/sf0.001")) == expected(rows)
