@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.rows import ROW, numbered, on_workers, smaller, spans, stored, unwrapped, wrapped
+from llm.rows import on_workers, smaller, spans, stored, unwrapped, wrapped
 from llm.text import texts_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -185,11 +185,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def keep(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that stay, with the columns of ``docs``.
 
-    Texts are measured once: a number for each row that is rejected is what meets them again.
+    Texts are measured once and stored beside their measures; what is joined to them is a row
+    per host.
     """
-    own = numbered(wrapped(docs, text_col), "numbered-documents")
-    slim = own.select(ROW, "text", F.col(f"doc.`{source_col}`").alias("source"))
-    measured = stored(with_measures(slim, keep_text=False), "measures")
+    own = wrapped(docs, text_col).withColumn("source", F.col(f"doc.`{source_col}`"))
+    measured = stored(with_measures(own), "measured-documents")
     decided = _decided(measured, host_verdicts(measured, "source"), "source")
-    rejected = stored(decided.where("NOT _rules_kept").select(ROW), "rejected-rows")
-    return unwrapped(own.join(rejected, ROW, "left_anti"), docs, text_col)
+    return unwrapped(decided.where("_rules_kept"), docs, text_col)

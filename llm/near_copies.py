@@ -18,8 +18,9 @@ one set are one from here on. No pair is linked before its whole sets are compar
    under their keys and all are compared, by counting along the lists of texts that hold each
    shingle. A task returns at most one link per member, to its group's first.
 
-A key with many members is cut into chunks that meet in pairs (:mod:`llm.sign_hashing`), so no
-task holds a large group; pairs of texts are never rows.
+The documents lie in buckets by row, so texts move once, when they are stored. A key with many
+members is cut into chunks that meet in pairs (:mod:`llm.sign_hashing`), so
+no task holds a large group; pairs of texts are never rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from llm import simhash
 from llm.components import components
-from llm.rows import ROW, numbered, on_workers, parts_of, runs, smaller, spans, stored, unwrapped, wrapped
+from llm.repeats import bucketed
+from llm.rows import ROW, on_workers, parts_of, runs, smaller, spans, stored, unwrapped, wrapped
 from llm.sign_hashing import BUCKET, _by_node, _bytes, _meeting, _sides
 from llm.text import texts_of
 
@@ -245,7 +247,7 @@ def near_links(sets: DataFrame, texts: DataFrame, width: int = 5, share: tuple[i
     """Links (a, b) that connect whatever a chain of texts with the similarity connects.
 
     ``sets`` (row, n, keys, low, fp) has one row per distinct, non-empty set and is stored;
-    ``texts`` (row, text) has at least these.
+    ``texts`` (numbered ``ROW``, text) has at least these.
     """
     parts = max(parts_of(sets.sparkSession), 1)
     members = sets.select("row", "keys").mapInArrow(_in_bands, MEMBER)
@@ -260,7 +262,8 @@ def near_links(sets: DataFrame, texts: DataFrame, width: int = 5, share: tuple[i
     proposed = proposed.unionByName(met.where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b")))
     pairs = stored(proposed.distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).unionByName(met.select("row")).distinct()
-    held = stored(texts.join(wanted, "row", "left_semi").mapInArrow(_as_sets(width), "row long, held binary"), "shingle-sets")
+    chosen = texts.join(wanted, texts[ROW] == wanted["row"], "left_semi").select(F.col(ROW).alias("row"), "text")
+    held = stored(chosen.mapInArrow(_as_sets(width), "row long, held binary"), "shingle-sets")
     links = stored(_confirmed(pairs, held, share), "near-links")
 
     groups = components(links)
@@ -287,18 +290,18 @@ def keep_one(
     empty table gives no rows.
     """
     on_workers(docs.sparkSession)
-    own = numbered(wrapped(docs, text_col), "numbered-documents")
+    own = bucketed(wrapped(docs, text_col))
     slim = own.select(F.col(ROW).alias("row"), F.col(f"doc.`{id_col}`").alias("id"), "text")
     kind = slim.schema["id"].dataType.simpleString()
     schema = f"row long, id {kind}, whole binary, n long, keys binary, low binary, fp long"
     rows = stored(slim.mapInArrow(_sketched(width), schema), "sketches")
     sets = stored(rows.groupBy("whole").agg(F.min("row").alias("row"), F.min("id").alias("least_id")), "distinct-sets")
     kept = stored(rows.drop("id", "whole").join(sets.select("row"), "row", "left_semi").where("n > 0"), "set-sketches")
-    links = near_links(kept, slim.select("row", "text"), width, share)
+    links = near_links(kept, own.select(ROW, "text"), width, share)
     named = sets.join(components(links), F.col("row") == F.col("a"), "left")
     named = stored(named.select("whole", "least_id", F.coalesce("root", "row").alias("group")), "near-groups")
     least = named.groupBy("group").agg(F.min("least_id").alias("component_id"))
     met = rows.select("row", "id", "whole").join(named, "whole").join(least, "group")
     met = met.where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = stored(met.groupBy("group").agg(F.min("row").alias(ROW)).select(ROW), "kept-rows")
-    return unwrapped(own.join(chosen, ROW, "left_semi"), docs, text_col)
+    return unwrapped(own.join(chosen.withColumnRenamed(ROW, "row"), F.col(ROW) == F.col("row"), "left_semi"), docs, text_col)
