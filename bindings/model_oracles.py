@@ -188,7 +188,7 @@ SELECT CAST(place AS INTEGER) AS node, feature, round(split, 6) AS split, model,
   CAST(CASE WHEN feature IS NOT NULL THEN place + 1 END AS INTEGER) AS "left",
   CAST(CASE WHEN feature IS NOT NULL THEN CASE node WHEN 1 THEN 2 + beside ELSE place + 2 END END AS INTEGER) AS "right",
   rows, round(weight, 6) AS weight, round(gain, 6) AS gain,
-  round(CASE model WHEN 'boosted' THEN 2 * share - 1 WHEN 'forest' THEN CASE WHEN share > 0.5 THEN 1.0 ELSE 0.0 END END, 6) AS prediction,
+  round(CASE WHEN feature IS NULL THEN CASE model WHEN 'boosted' THEN 2 * share - 1 ELSE CASE WHEN share > 0.5 THEN 1.0 ELSE 0.0 END END END, 6) AS prediction,
   round(CASE model WHEN 'forest' THEN share END, 6) AS share
 FROM numbered""",
         "tree_scores": f"""{WHOLE},{scored('out', 'coarse', 'whole', 2)}

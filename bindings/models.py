@@ -59,8 +59,10 @@ def _nodes(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted trees as rows: which splits were chosen, what arrives where."""
+    """The fitted trees as rows: which splits were chosen, what arrives where, what leaves say.
+    (With balanced weights the root's two classes weigh the same, so its prediction is a tie.)"""
     nodes = _nodes(spark, _exact_pair(spark, sf_dir)[2])
+    nodes = nodes.withColumn("prediction", F.when(F.col("feature").isNull(), F.col("prediction")))
     return rounded(nodes.drop("impurity", "tree_weight", "tree"), 6)
 
 
