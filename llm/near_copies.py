@@ -46,6 +46,7 @@ FAR = 6.0
 DISTANCE = 4  # bits in which fingerprints of close copies differ
 HUB = 2048  # sets that one task compares with a hub's
 AT_ONCE = 1 << 20  # bytes of text
+HASHES_AT_ONCE = 1 << 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _drawn = np.random.default_rng(20).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 FLIPS, FACTORS = _drawn[0] * np.uint64(2), _drawn[1] * np.uint64(2) + np.uint64(1)
@@ -86,11 +87,12 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         low[:, k] = least.astype(np.uint8)
         keys[:, band] = _mixed((keys[:, band] + least) * ODD + np.uint64(band))
     prints = np.zeros(len(sets), dtype=np.uint64)
-    for at in range(0, len(sets), 64):
-        bits = np.unpackbits(np.concatenate(sets[at : at + 64]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, starts[at : at + 64] - starts[at], axis=0, dtype=np.int64)
-        set_in_most = 2 * ones > sizes[at : at + 64, None]
-        prints[at : at + 64] = np.packbits(set_in_most, axis=1).view(">u8")[:, 0]
+    for k, own in enumerate(sets):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(own), HASHES_AT_ONCE):
+            bits = np.unpackbits(own[at : at + HASHES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones += bits.sum(axis=0, dtype=np.int64)
+        prints[k] = np.packbits(2 * ones > len(own)).view(">u8")[0]
     return keys, low, prints
 
 
