@@ -23,10 +23,20 @@ END = 2
 
 _before: dict[str, Scratch] = {}  # by application: what its last stage stored
 
+# Python workers serve one stage after the other. With these they give freed memory back to the
+# machine instead of keeping what the largest batch so far took.
+WORKERS = {
+    "MALLOC_TRIM_THRESHOLD_": "4194304",
+    "MALLOC_MMAP_THRESHOLD_": "4194304",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
 
 def stage(build):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         application = spark.sparkContext.applicationId
+        for name, value in WORKERS.items():
+            spark.sparkContext.environment.setdefault(name, value)
         last = _before.pop(application, None)
         if last is not None and not last.holds(docs):
             last.remove(spark)
