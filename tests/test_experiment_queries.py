@@ -1,4 +1,6 @@
 from bindings import queries
+from ledgerwatch import ExperimentSpec
+from ledgerwatch.plans.training import fit_partitions
 
 
 def test_each_query_builds_its_own_experiment(monkeypatch, spark):
@@ -18,3 +20,10 @@ def test_changed_tables_give_changed_results(spark, folder):
         found = queries.experiment_row_balance(spark, sf_dir).first()
         rows.append(found.train_rows + found.validation_rows + found.test_rows)
     assert rows[0] == events.count() and rows[1] == events.where("event_id % 2 = 0").count()
+
+
+def test_fit_partitions_do_not_follow_the_rows_for_ever():
+    experiment = queries.SMALL_EXPERIMENT
+    assert [fit_partitions(rows, experiment) for rows in (0, 1, 2_000, 60_000, 128_000)] == [1, 1, 1, 30, 64]
+    assert [fit_partitions(rows, experiment) for rows in (3_600_000, 21_600_000, 50_000_000)] == [64, 64, 100]
+    assert fit_partitions(50_000_000, ExperimentSpec(fit_rows_per_partition=2_000_000)) == 25
