@@ -20,6 +20,7 @@ from ledgerwatch.session import materialize, scratch_path
 from ledgerwatch.sources.catalog import DATABASES, create_tables, layer_tables, read_layer, replace_step, save_layer
 from ledgerwatch.sources.compaction import compact_steps, read_compacted
 from ledgerwatch.sources.registry import ModelRecord, register, versions
+from ledgerwatch.sources.writers import STORED_CODEC
 from ledgerwatch.streaming.events import parse_messages
 from ledgerwatch.streaming.replay import replay_batches
 
@@ -81,7 +82,7 @@ def silver_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = (f"{base}/clean", f"{base}/features", f"{base}/progress")
     # Events arrive an hour after they happen.
     at = F.try_to_timestamp(F.get_json_object("value", "$.event_time")) + F.expr("INTERVAL 1 HOUR")
-    raw = materialize(parse_messages(views.messages(spark, sf_dir), EVENTS, ingested_at=at), "raw")
+    raw = materialize(parse_messages(views.messages(spark, sf_dir), EVENTS, ingested_at=at), "raw", codec=STORED_CODEC)
     early = F.col(EVENTS.ingested_at) < F.lit("2024-01-15").cast("timestamp")
     late = F.col("kafka_offset") % 10 == 0
     table = layer_tables(EVENTS)["bronze.transactions_raw"]

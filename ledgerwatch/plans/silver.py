@@ -9,11 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwatch.functions.lenient import to_double
 from ledgerwatch.operators.classes import ClassWeights, balanced_weights, checked_weights
 from ledgerwatch.operators.silver import clean, with_class_weight, with_feature_array
 from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import layer_tables, read_layer, save_layer
-from ledgerwatch.sources.writers import replace_partitions
+from ledgerwatch.sources.writers import STORED_CODEC, replace_partitions
 from ledgerwatch.spec import TransactionSpec
 
 
@@ -165,15 +166,28 @@ def advance_silver(
     counts = closed.unionByName(fresh_state).filter("label is not null").groupBy("label").agg(F.sum("count").alias("count"))
     weights = checked_weights(counts, "label")
 
-    fresh = silver_rows(arrived, spec, weights).dropDuplicates([spec.raw_id])
-    fresh = materialize(fresh.withColumn("event_date", F.to_date(spec.timestamp)), "fresh-rows")
-    touched = [r[0] for r in fresh.select("event_date").distinct().collect()]
-    for name, shape, target in (
-        ("silver.transactions_clean", lambda rows: rows, clean_target),
-        ("silver.transactions_features", lambda rows: feature_rows(rows, spec), features_target),
-    ):
+    targets = {
+        "_in_clean": ("silver.transactions_clean", lambda rows: rows, clean_target),
+        "_in_features": ("silver.transactions_features", lambda rows: feature_rows(rows, spec), features_target),
+    }
+    touched = [r[0] for r in valid.select(F.to_date(spec.timestamp)).distinct().collect()]
+
+    def stored_ids(own: str) -> DataFrame:
+        name, _, target = targets[own]
         stored = dates_only(read_layer(spark, tables[name], target, missing_is_empty=True), "event_date", touched)
-        missing = fresh.join(stored.select(spec.raw_id), spec.raw_id, "left_anti").drop("event_date")
-        save_layer(shape(missing), tables[name], target=target)
+        return stored.select(spec.raw_id, *[F.lit(mark == own).alias(mark) for mark in targets])
+
+    known = reduce(DataFrame.unionByName, map(stored_ids, targets)).groupBy(spec.raw_id)
+    known = known.agg(*[F.max(mark).alias(mark) for mark in targets])
+    # Rows meet by id once, as raw columns, for both tables; what is missing meets once by date.
+    labelled = to_double(F.col(spec.label_source)).isin(0.0, 1.0)
+    single = arrived.filter(labelled).drop("ingestion_date").dropDuplicates([spec.raw_id])
+    typed = silver_rows(single, spec, weights).withColumn("event_date", F.to_date(spec.timestamp))
+    marked = typed.join(known, spec.raw_id, "left").fillna(False, subset=list(targets))
+    fresh = marked.filter(~reduce(Column.__and__, map(F.col, targets))).hint("rebalance", F.col("event_date"))
+    fresh = materialize(fresh, "fresh-rows", codec=STORED_CODEC)
+    for mark, (name, shape, target) in targets.items():
+        missing = fresh.filter(~F.col(mark)).drop("event_date", *targets)
+        save_layer(shape(missing), tables[name], target=target, rebalance=False)
     replace_partitions(fresh_state.repartition(1), progress, ["ingestion_date"])
     return dates

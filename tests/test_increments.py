@@ -13,6 +13,7 @@ from ledgerwatch.operators.asof import with_version_in_force
 from ledgerwatch.operators.quality import quality_report
 from ledgerwatch.operators.quality_state import read_states, state_report, update_states
 from ledgerwatch.plans import silver as plans
+from ledgerwatch.session import materialize
 from ledgerwatch.sources.catalog import LayerTable, layer_tables, read_layer, replace_step, save_layer
 from ledgerwatch.sources.compaction import compact_steps, read_compacted
 from ledgerwatch.spec import TransactionSpec
@@ -243,6 +244,44 @@ def test_late_events_open_their_date_again(raw_layer):
     assert stored().count() == 14 == stored().select("raw_event_id").distinct().count()
 
 
+def test_only_missing_rows_are_gathered_by_date(spark, raw_layer, monkeypatch):
+    base, _, arrive, advance, stored = raw_layer
+    gathered = []
+
+    def noted(df, label, *given, **named):
+        out = materialize(df, label, *given, **named)
+        gathered.extend([out.count()] if label == "fresh-rows" else [])
+        return out
+
+    monkeypatch.setattr(plans, "materialize", noted)
+    for day in range(3):
+        arrive(day, 4)
+    advance()
+    again = read_layer(spark, layer_tables(SPEC)["bronze.transactions_raw"], f"{base}/raw").filter("kafka_offset = 5")
+    save_layer(again.localCheckpoint(), layer_tables(SPEC)["bronze.transactions_raw"], target=f"{base}/raw")  # delivered again
+    arrive(1, 2, lag=1)
+    advance()
+    assert gathered == [12, 2]
+    assert stored().count() == stored("features").count() == stored().select("raw_event_id").distinct().count() == 14
+    assert all(".zstd." in f for f in stored().inputFiles())
+
+
+def test_a_run_stopped_between_its_tables_completes_both(raw_layer, monkeypatch):
+    _, _, arrive, advance, stored = raw_layer
+    arrive(0, 4)
+    advance()
+    arrive(0, 3)
+    with monkeypatch.context() as patch:
+        patch.setattr(plans, "feature_rows", lambda *a: stop())
+        with pytest.raises(Stopped):
+            advance()
+    assert (stored().count(), stored("features").count()) == (7, 4)
+    arrive(0, 2)
+    advance()
+    ids = [sorted(r[0] for r in stored(name).select("raw_event_id").collect()) for name in ("clean", "features")]
+    assert ids[0] == ids[1] and len(ids[0]) == len(set(ids[0])) == 9
+
+
 def test_weights_are_those_of_all_rows_so_far(raw_layer):
     _, _, arrive, advance, stored = raw_layer
     arrive(0, 6, label=0)
