@@ -118,7 +118,7 @@ def compacted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     compacted again: rows of each step, and what their scores add up to."""
     base = f"{scratch_path(spark, 'compaction')}/scores"
     table = layer_tables(EVENTS)["gold.fraud_scores"]
-    scores = materialize(views.scores(spark, sf_dir).withColumn("scored_at", F.col("event_timestamp")), "scores")
+    scores = materialize(views.scores(spark, sf_dir).withColumn("scored_at", F.col("event_timestamp")), "scores", codec=STORED_CODEC)
     batch = F.conv(F.substring("transaction_id", 1, 6), 16, 10).cast("long") % 6
     step = lambda k: scores.filter(batch == k)
     for run in ("first", "second"):

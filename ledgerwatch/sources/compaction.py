@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwatch.sources.catalog import LayerTable, read_layer
+from ledgerwatch.sources.writers import STORED_CODEC
 
 DAY = "compacted_day"
 LIST_SCHEMA = "day date, folder string, version long"
@@ -54,7 +55,9 @@ def _compacted(spark: SparkSession, table: LayerTable, path: str, folders: list[
 
 
 def _without(rows: DataFrame, steps: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return rows.join(steps.select(*keys), list(keys), "left_anti")
+    """``steps`` come from a list of the driver, so they are broadcast: rows stay where they are
+    instead of meeting by step."""
+    return rows.join(F.broadcast(steps.select(*keys)), list(keys), "left_anti")
 
 
 def read_compacted(spark: SparkSession, table: LayerTable, path: str) -> DataFrame:
@@ -121,7 +124,7 @@ def compact_steps(
     names = table.stored_schema.fieldNames()
     rows = taken.select(*names, DAY).unionByName(_without(stays, chosen, (run, batch)).select(*names, DAY))
     name = f"days/{uuid.uuid4().hex}"
-    rows.repartition(DAY).write.partitionBy(DAY).parquet(f"{path}-compacted/{name}")
+    rows.repartition(DAY).write.partitionBy(DAY).parquet(f"{path}-compacted/{name}", compression=STORED_CODEC)
     if after_write:
         after_write()
 

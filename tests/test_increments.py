@@ -171,6 +171,16 @@ def test_a_step_repeated_after_compaction_replaces_its_rows(spark, steps):
     check()  # a step that became empty
 
 
+def test_compacted_rows_do_not_meet_by_step(spark, steps):
+    path, write, check = steps
+    for batch in range(3):
+        write("a", batch, 4)
+    compact_steps(spark, STEPS, path, keep=1)
+    plan = read_compacted(spark, STEPS, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    check()
+
+
 @pytest.mark.parametrize("where", ["after_write", "after_list"])
 def test_compaction_that_is_stopped(spark, steps, where):
     path, write, check = steps
