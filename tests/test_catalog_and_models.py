@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch import Candidate, ExperimentSpec, TransactionSpec
 from ledgerwatch.functions.scores import margin_probability
+from ledgerwatch.operators.classes import ClassWeights
 from ledgerwatch.operators.ensemble import (
     DeployedModel,
     fit_ensemble,
@@ -16,6 +18,7 @@ from ledgerwatch.operators.ensemble import (
 )
 from ledgerwatch.operators.kpi import alerts
 from ledgerwatch.plans.training import (
+    fit_layout,
     fit_runs,
     prepare_blocks,
     run_experiment,
@@ -207,6 +210,35 @@ def test_all_runs_score_in_one_pass(typed, folder):
     assert mine.select("label", "fraud_score").exceptAll(alone).count() == 0
 
 
+def test_blocks_for_exact_trees_hold_no_ids(typed):
+    """Repeated ids are resolved alike, and the blocks hold the same rows."""
+    again = typed.unionByName(typed.filter("Time < 300").withColumns({"raw_event_id": F.lit("zzz"), "x": F.lit(9.0)}))
+    exact = replace(TINY, exact_trees=True)
+    blocks, plain = (prepare_blocks(again, SPEC, each) for each in (exact, TINY))
+    assert blocks.row_counts == plain.row_counts and SPEC.id not in blocks.rows.columns
+    names = ["block", "label", *SPEC.features]
+    assert blocks.rows.select(names).exceptAll(plain.rows.select(names)).count() == 0
+
+
+def test_exact_trees_over_summed_rows(typed):
+    """Equal rows are fitted as one of their joint weight: the same trees as over all rows."""
+    few = TransactionSpec(features=("x", "Amount"))
+    rows = typed.withColumns({"x": F.round("x", 1), "Amount": F.round("Amount", -1) - 50})
+    weights = ClassWeights(0.6, 2.9)
+    exact = replace(TINY, exact_trees=True)
+    layout, bins = fit_layout(rows, weights, few, exact, 1500)
+    assert layout.count() < 300 and "Exchange" not in layout._jdf.queryExecution().toString()
+    whole = training_layout(rows, *weights, few, 3)
+    total = lambda df: df.agg(F.sum("class_weight")).first()[0]
+    assert abs(total(layout) - total(whole)) < 1e-6
+    mine, want = (fit_ensemble(each, Candidate("c", 1, 4, 3, 3), 1, few, bins) for each in (layout, whole))
+    for one, other in ((mine.forest, want.forest), (mine.boosted, want.boosted)):
+        found, wanted = ([line.strip() for line in m.toDebugString.split("\n") if "(feature" in line] for m in (one, other))
+        assert found == wanted and len(found) > 5
+    scores = lambda m: [r.fraud_score for r in with_ensemble_score(rows, m, few).orderBy("transaction_id").collect()]
+    assert scores(mine) == pytest.approx(scores(want), abs=1e-12)
+
+
 def test_null_features_are_scored(typed, model):
     holes = typed.withColumn("x", F.when(F.col("x") > 0.5, F.col("x")))
     scored = with_ensemble_score(holes, model.ensemble, SPEC)

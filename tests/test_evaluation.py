@@ -148,6 +148,24 @@ def test_exact_quantiles_under_skew(spark, rows_per_range):
         assert row["value"] == ranked[max(1, rank) - 1]
 
 
+@pytest.mark.parametrize("strange", [0, 600])
+def test_exact_quantiles_count_only_near_the_ranks_in_a_large_table(spark, monkeypatch, strange):
+    """As exact as before; where NaN misleads the sketch, all values are counted."""
+    stored = []
+    monkeypatch.setattr(quantiles, "WORTH_A_SKETCH", 20_000)
+    monkeypatch.setattr(quantiles, "materialize", lambda df, label: stored.append(materialize(df, label)) or stored[-1])
+    spread = F.when(F.col("id") % 4 == 0, 7.5).otherwise((F.xxhash64("id") % 1_000_003) / 10.0)
+    frame = spark.range(30_000).select(F.when(F.col("id") < strange, float("nan")).otherwise(spread).alias("v"))
+    shares = [0.0001, 0.3, 0.6, 0.6002, 0.8, 1.0]
+    got = {row["share"]: row["value"] for row in quantiles.exact_quantiles(frame, "v", shares).collect()}
+    ranked = sorted((row["v"] for row in frame.collect()), key=lambda v: (math.isnan(v), v))
+    for share in shares:
+        want = ranked[math.ceil(Fraction(str(share)) * len(ranked)) - 1]
+        assert got[share] == want or (math.isnan(got[share]) and math.isnan(want))
+    distinct = frame.distinct().count()
+    assert stored[0].count() == distinct if strange else stored[0].count() < distinct / 50
+
+
 def metric_rows(spark, rows):
     columns = "g string, position int, threshold double, precision double, recall double, f1_score double"
     return spark.createDataFrame(rows, columns)

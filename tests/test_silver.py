@@ -128,6 +128,25 @@ def test_keep_first_treats_null_as_one_key(spark):
     assert kept == {None: 2, "x": 3}
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_keep_first_of_numbers_keeps_the_same_rows(spark, monkeypatch, collide):
+    """Single, repeated and null keys, null and NaN values, one hot key, equal hashes of several keys."""
+    if collide:
+        monkeypatch.setattr(duplicates.F, "xxhash64", lambda key: F.coalesce(F.length(key), F.lit(0)))
+    key = F.when(F.col("id") < 600, "hot").when(F.col("id") % 50 != 0, (F.col("id") - F.col("id") % 3 % 2).cast("string"))
+    rows = spark.range(2000).select(
+        key.alias("k"),
+        F.sha2((F.col("id") % 1990).cast("string"), 256).alias("raw"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("n"),
+        F.when(F.col("id") % 5 == 0, float("nan")).otherwise(1.0).alias("x"),
+    )
+    text = lambda df: sorted(map(str, df.collect()))
+    want = text(duplicates.keep_first(rows, "k", ["raw"], ["n", "x"]))
+    assert text(duplicates.keep_first_numbers(rows, "k", ["raw"], ["n", "x"])) == want
+    alone = rows.filter("try_cast(k AS double) = n AND n % 3 = 2")
+    assert text(duplicates.keep_first_numbers(alone, "k", ["raw"], ["n", "x"])) == text(alone.select("n", "x"))
+
+
 def test_repeated_and_conflicting_ids(spark):
     rows = spark.createDataFrame(
         [("a", 0.0), ("a", 1.0), ("b", 0.0), ("b", 0.0), ("c", 1.0), (None, 0.0), (None, 0.0)],
