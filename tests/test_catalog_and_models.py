@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from ledgerwatch.operators.ensemble import (
     with_feature_vector,
 )
 from ledgerwatch.operators.kpi import alerts
+from ledgerwatch.operators.silver import with_class_weight
 from ledgerwatch.plans.training import (
     fit_layout,
     fit_runs,
@@ -348,3 +350,29 @@ def test_stream_equals_batch_and_survives_a_failed_batch(spark, typed, model, fo
 def test_empty_micro_batches_are_skipped(typed, model, folder):
     write = scoring.micro_batch_writer(model, SPEC, ScoreSinks(folder(), folder()), "r")
     write(typed.limit(0), 0)
+
+
+def test_training_layout_moves_plain_numbers(typed):
+    """The same rows in the same places as vectors dealt by id, without ids and vectors on the way."""
+    layout = training_layout(typed, 1.0, 3.0, SPEC, 4)
+    vectors = with_feature_vector(with_class_weight(typed, 1.0, 3.0, SPEC), SPEC)
+    dealt = vectors.repartition(4, "transaction_id").sortWithinPartitions("transaction_id")
+    assert layout.columns == ["label", "class_weight", "features"]
+    assert layout.rdd.glom().collect() == dealt.select(layout.columns).rdd.glom().collect()
+    moved = layout._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "UDF" not in moved
+
+
+def test_messages_in_files_are_compressed_unless_told_how(spark, folder):
+    messages = spark.createDataFrame([("a", '{"x":1}'), ("b", None)], "key string, value string")
+    for kind, options, ending in (
+        ("json", {}, ".json.gz"),
+        ("json", {"compression": "none"}, ".json"),
+        ("parquet", {}, ".zstd.parquet"),
+    ):
+        path = folder("sent")
+        TopicSink(kind, options, path).send(messages, "r", 0)
+        names = [file.name for file in Path(path).rglob("part-*")]
+        assert names and all(name.endswith(ending) for name in names)
+        back = spark.read.schema("key string, value string").format(kind).load(f"{path}/scoring_run=r")
+        assert sorted(row.key for row in back.collect()) == ["a", "b"]

@@ -1,3 +1,7 @@
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from bindings import queries
 from ledgerwatch import ExperimentSpec
 from ledgerwatch.plans.training import fit_partitions
@@ -27,3 +31,29 @@ def test_fit_partitions_do_not_follow_the_rows_for_ever():
     assert [fit_partitions(rows, experiment) for rows in (0, 1, 2_000, 60_000, 128_000)] == [1, 1, 1, 30, 64]
     assert [fit_partitions(rows, experiment) for rows in (3_600_000, 21_600_000, 50_000_000)] == [64, 64, 100]
     assert fit_partitions(50_000_000, ExperimentSpec(fit_rows_per_partition=2_000_000)) == 25
+
+
+def test_scoring_both_ways_leaves_scores_and_messages_only(spark, folder, monkeypatch):
+    """Raw, typed and training rows are gone when all is scored; messages in files are compressed."""
+    base, sf_dir = folder("shared"), folder("tables")
+    monkeypatch.setattr("ledgerwatch.session.shared_folder", lambda spark: base)
+    kind = F.when(F.col("event_id") % 3 == 0, "error").otherwise("view")
+    number = F.xxhash64("event_id") % 50
+    spark.range(900).withColumnRenamed("id", "event_id").select(
+        "event_id",
+        F.timestamp_seconds(1704067200 + 60 * F.col("event_id")).cast("timestamp_ntz").alias("ts"),
+        (F.col("event_id") % 40).alias("user_id"),
+        kind.alias("event_type"),
+        F.abs(number).cast("double").alias("value"),
+        F.concat(F.lit('{"k": '), F.col("event_id") % 9, F.lit("}")).alias("props"),
+    ).write.parquet(f"{sf_dir}/events.parquet")
+    assert queries.batch_equals_stream(spark, sf_dir).first().differing_rows == 0
+    left = {path.name.rsplit("-", 1)[0]: path for path in Path(base, "ledgerwatch").iterdir()}
+    assert set(left) == {"models", "scores"}
+    assert not Path(left["scores"], "typed").exists()
+    sent = [path.name for path in Path(left["scores"], "scored-topic").rglob("part-*")]
+    assert len(sent) >= 4 and all(name.endswith(".json.gz") for name in sent)
+    text = "key string, value string, scoring_run string, scoring_batch_id int"
+    steps = spark.read.schema(text).json(f"{left['scores']}/scored-topic")
+    found = steps.groupBy("scoring_run").agg(F.count("value").alias("rows"), F.count_distinct("scoring_batch_id").alias("steps"))
+    assert sorted(map(tuple, found.collect())) == [("batch", 900, 1), ("stream", 900, 3)]

@@ -94,3 +94,12 @@ def test_score_bucket(value, score, bucket):
 
 def test_ensemble_is_the_mean(value):
     assert value(scores.ensemble(F.lit(0.2), F.lit(0.6))) == 0.4
+
+
+def test_packed_ids_stay_different(spark):
+    texts = ["ab", "AB", "abc", "ab\n", "", "00", "0", "\x00", "0000", "é", "a" * 64, "1 "]
+    rows = spark.createDataFrame([(text,) for text in [*texts, "ab", None]], "id string")
+    packed = identity.packed_id(F.col("id"))
+    assert rows.agg(F.count_distinct(packed)).first()[0] == len(texts)
+    assert rows.filter(packed.isNull()).count() == 1
+    assert rows.filter(F.length("id") == 64).select(F.length(packed)).first()[0] == 33

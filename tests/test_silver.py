@@ -163,3 +163,24 @@ def test_summary_mean_and_sample_stdev(spark):
     single = run_summary(runs.limit(1), ("g",), {"v": "v"}).first()
     assert (single["sample_stdev"], single["runs"]) == (0.0, 1)
     assert run_summary(runs.limit(0), ("g",), {"v": "v"}).count() == 0
+
+
+@pytest.mark.parametrize("collide, limit", [(False, 1_000), (True, 1_000), (False, 0)])
+def test_keep_first_stored_keeps_the_same_rows(spark, monkeypatch, collide, limit):
+    """Single, repeated and null keys, one hot key, equal hashes of several keys, too many to broadcast."""
+    if collide:
+        monkeypatch.setattr(duplicates.F, "xxhash64", lambda key: F.coalesce(F.length(key), F.lit(0)))
+    monkeypatch.setattr(duplicates, "BROADCAST_HASHES", limit)
+    key = F.when(F.col("id") < 600, "hot").when(F.col("id") % 50 != 0, (F.col("id") - F.col("id") % 3 % 2).cast("string"))
+    rows = spark.range(2000).select(
+        key.alias("k"),
+        F.sha2((F.col("id") % 1990).cast("string"), 256).alias("raw"),
+        F.when(F.col("id") % 7 != 0, F.col("id") * 1.0).alias("n"),
+        F.when(F.col("id") % 5 == 0, float("nan")).otherwise(1.0).alias("x"),
+    )
+    text = lambda df: sorted(map(str, df.collect()))
+    names = ["k", "n", "x"]
+    want = text(duplicates.keep_first(rows, "k", ["raw"], names))
+    assert text(duplicates.keep_first_stored(rows, "k", ["raw"], names)) == want
+    alone = rows.filter("try_cast(k AS double) = n AND n % 3 = 2")
+    assert text(duplicates.keep_first_stored(alone, "k", ["raw"], names)) == text(alone.select(names))
