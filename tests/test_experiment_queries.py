@@ -3,8 +3,10 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from bindings import queries
+from bindings.views import EVENTS
 from ledgerwatch import ExperimentSpec
 from ledgerwatch.plans.training import fit_partitions
+from ledgerwatch.sources.catalog import layer_tables
 
 
 def test_each_query_builds_its_own_experiment(monkeypatch, spark):
@@ -57,3 +59,21 @@ def test_scoring_both_ways_leaves_scores_and_messages_only(spark, folder, monkey
     steps = spark.read.schema(text).json(f"{left['scores']}/scored-topic")
     found = steps.groupBy("scoring_run").agg(F.count("value").alias("rows"), F.count_distinct("scoring_batch_id").alias("steps"))
     assert sorted(map(tuple, found.collect())) == [("batch", 900, 1), ("stream", 900, 3)]
+
+
+def test_scored_ids_are_counted_as_bytes(spark, folder, monkeypatch):
+    """Hex, other text, repeated and null ids; half of a hex id is shuffled."""
+    base = folder("scored")
+    ids = ["ab" * 32, "AB" * 32, "ab" * 32, "cd" * 32, "cd", "x", "x", None]
+    table = layer_tables(EVENTS)["gold.fraud_scores"]
+    rows = spark.createDataFrame([(i, 1.0, 0.5, run) for i in ids for run in ("batch", "stream")], "transaction_id string, prediction double, fraud_score double, scoring_run string")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.stored_schema if f.name not in rows.columns]
+    full = rows.select("*", *empty).withColumns({"prediction": F.lit(1), "scoring_batch_id": F.lit(0)})
+    for name in ("scores", "alerts"):
+        full.select(table.stored_schema.fieldNames()).write.partitionBy("scoring_run", "scoring_batch_id").parquet(f"{base}/{name}")
+    for name in ("scored-topic", "alert-topic"):
+        full.select(F.lit("k").alias("key"), "scoring_run").write.partitionBy("scoring_run").json(f"{base}/{name}")
+    monkeypatch.setattr(queries, "_score_both_ways", lambda spark, sf_dir: base)
+    found = queries.stream_score(spark, "any")
+    assert sorted(map(tuple, found.collect())) == [(run, 8, 5, 0, 0, 8, 0) for run in ("batch", "stream")]
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
